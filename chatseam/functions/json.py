@@ -31,6 +31,13 @@ def complete_json(text: Column) -> Column:
     return F.when((F.size(items) == 1) & ~closes_early, items[0])
 
 
+def object_items(text: Column) -> Column:
+    """For text that starts with a brace: ``[record]`` if it is one JSON object, else null or another length."""
+    items = F.try_variant_get(F.try_parse_json(_in_array(text)), "$", f"array<{VARIANT_MAP}>")
+    closes_early = text.rlike(r"\}\s*\]") & F.try_parse_json(_in_object(text)).isNull()
+    return F.when(~closes_early, items)
+
+
 def as_record(value: Column) -> Column:
     """A JSON object as a map from field name to VARIANT; null for any other kind."""
     return value.try_cast(VARIANT_MAP)
@@ -45,8 +52,8 @@ def document_items(text: Column, envelope_keys: Sequence[str], bare_object: bool
     """
     text = F.btrim(text, F.lit("\ufeff \t\r\n"))
     as_list = F.from_json(_in_object(text), f"struct<v {VARIANT_ARRAY}>")["v"]
-    # A second wrapping that trailing text cannot slip through.
-    list_is_whole = F.from_json(_in_array(text), f"array<{VARIANT_ARRAY}>").isNotNull()
+    # Only "]" followed by "}" can close the wrapping early; then brackets are tried too.
+    closes_early = text.rlike(r"\]\s*\}") & F.from_json(_in_array(text), f"array<{VARIANT_ARRAY}>").isNull()
     fields = ", ".join(f"`{key}` {VARIANT_ARRAY}" for key in envelope_keys)
     envelope = F.from_json(text, f"struct<{fields}>")
     as_envelope = F.coalesce(*[envelope[key] for key in envelope_keys])
@@ -54,6 +61,6 @@ def document_items(text: Column, envelope_keys: Sequence[str], bare_object: bool
     own = F.when(as_record(whole_object).isNotNull(), F.array(whole_object)) if bare_object else (
         F.when(as_record(whole_object).isNotNull(), F.array().cast(VARIANT_ARRAY))
     )
-    return F.when(text.startswith("["), F.when(list_is_whole, as_list)).when(
+    return F.when(text.startswith("["), F.when(~closes_early, as_list)).when(
         text.startswith("{"), F.coalesce(as_envelope, own)
     )

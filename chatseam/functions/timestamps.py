@@ -26,28 +26,29 @@ _SHAPES = (
     (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2} [+-]\d{4}$", "d MMM y H:mm:ss xx"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, y"),
 )
-_ISO_SHAPE = r"^\d{4}(-|$)"
+_ISO_SHAPE = r"^\d{4}(-\d|$)"
 _NUMBER_SHAPE = r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"
+# A bare year or a compact date is a calendar value, not an epoch.
+_CALENDAR_SHAPE = r"^(\d{4}|(19|20)\d{6})$"
 _WEEKDAY = r"^[A-Za-z]{3}, "
-
-
-def as_number(text: Column) -> Column:
-    """The text as a double if it is a number that cannot be a year or a compact date."""
-    text = F.trim(text)
-    is_epoch = text.rlike(_NUMBER_SHAPE) & ~text.rlike(r"^(\d{4}|(19|20)\d{6})$")
-    return F.when(is_epoch, text.try_cast("double"))
+_UTC_NAME = r" (GMT|UTC|Z)$"
 
 
 def parse_text_timestamp(text: Column) -> Column:
     """ISO forms with or without an offset, then the other known shapes."""
-    text = F.regexp_replace(F.trim(text), _WEEKDAY, "")
-    text = F.regexp_replace(text, r" (GMT|UTC|Z)$", " +0000")
-    # "+0000" after an ISO time has to lose its space to be read as an offset.
-    iso = F.regexp_replace(text, r" \+0000$", "+00:00")
-    branches = F.when(text.rlike(_ISO_SHAPE), iso.try_cast("timestamp"))
+    text = F.trim(text)
+    is_iso = text.rlike(_ISO_SHAPE)
+    # The usual case is decided by one test and one cast.
+    parsed = F.when(is_iso, F.coalesce(text.try_cast("timestamp"), _spaced_offset(text).try_cast("timestamp")))
+    other = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), _UTC_NAME, " +0000")
     for shape, pattern in _SHAPES:
-        branches = branches.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
-    return branches
+        parsed = parsed.when(other.rlike(shape), F.try_to_timestamp(other, F.lit(pattern)))
+    return parsed
+
+
+def _spaced_offset(text: Column) -> Column:
+    """``... +0300`` as ``...+03:00``."""
+    return F.regexp_replace(text, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2")
 
 
 def from_epoch(number: Column, is_millis: Column) -> Column:
@@ -60,7 +61,9 @@ def from_epoch(number: Column, is_millis: Column) -> Column:
 
 def parse_timestamp(text: Column) -> Column:
     """Numbers are read as an epoch by their own magnitude, everything else as text."""
-    number = as_number(text)
-    return F.when(
-        number.isNotNull(), from_epoch(number, number > MILLISECOND_THRESHOLD)
-    ).otherwise(parse_text_timestamp(text))
+    trimmed = F.trim(text)
+    number = trimmed.try_cast("double")
+    is_epoch = trimmed.rlike(_NUMBER_SHAPE) & ~trimmed.rlike(_CALENDAR_SHAPE)
+    return F.when(is_epoch, from_epoch(number, number > MILLISECOND_THRESHOLD)).otherwise(
+        parse_text_timestamp(text)
+    )

@@ -41,7 +41,7 @@ def persona_profiles(
         share("_upper").alias("uppercase_share"),
         share("_digits").alias("digit_share"),
         # One bit per hour of the day.
-        F.bit_count(F.coalesce(F.bit_or(F.shiftleft(F.lit(1), F.col("_hour"))), F.lit(0))).alias("active_hours"),
+        F.bit_count(F.coalesce(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("_hour"))), F.lit(0))).alias("active_hours"),
     )
     words = present.select(F.col(actor).alias("actor"), F.explode(tokens(body)).alias("_word"))
     distinct = words.groupBy("actor", "_word").agg(F.count(F.lit(1)).alias("_n"))

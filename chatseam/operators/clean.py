@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatseam.functions.languages import detect_language, needs_detection
+from chatseam.functions.once import with_computed
 from chatseam.functions.text import clean_text, is_blank, md5_prefix, strip
 from chatseam.operators.normalize import POSITION
 from chatseam.schema import CANONICAL_COLUMNS
@@ -23,6 +24,18 @@ def drop_short_bodies(messages: DataFrame, min_length: int, body: str = "body")
     return messages.where(F.length(body) >= min_length)
 
 
+def clean_bodies(messages: DataFrame, min_length: int = 5, body: str = "body") -> DataFrame:
+    """Both filters and the cleaning in one step that touches each text once.
+
+    A text is blank exactly if nothing is left after cleaning.
+    """
+    return with_computed(
+        messages,
+        {body: clean_text(F.col(body))},
+        keep=lambda row: (row[body] != "") & (F.length(row[body]) >= min_length),
+    )
+
+
 def message_id(dataset: str | Column, file: Column, ordinal: Column, existing: Column) -> Column:
     """The stripped source id, or a hash of dataset, file and place in the file."""
     dataset = F.lit(dataset) if isinstance(dataset, str) else dataset
@@ -56,11 +69,8 @@ def clean(
 
     Ids are made before deduplication, so records without one are not lumped together.
     """
-    cleaned = (
-        normalized.transform(drop_blank_bodies)
-        .withColumn("body", clean_text(F.col("body")))
-        .transform(drop_short_bodies, settings.min_body_length)
-        .withColumn("message_id", message_id(spec.name, F.col("record_file"), F.col("ordinal"), F.col("msg_id")))
+    cleaned = clean_bodies(normalized, settings.min_body_length).withColumn(
+        "message_id", message_id(spec.name, F.col("record_file"), F.col("ordinal"), F.col("msg_id"))
     )
     if settings.dedup_column is None:
         return cleaned

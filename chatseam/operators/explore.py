@@ -22,16 +22,16 @@ def top_senders(messages: DataFrame, limit: int = 20, sender: str = "actor") ->
     )
 
 
-def _fill_gaps(counts: DataFrame, by: Sequence[str], day: str, count: str, step: int) -> DataFrame:
+def fill_gaps(counts: DataFrame, by: Sequence[str], day: str, count: str, step: int) -> DataFrame:
     """Insert a zero row for every missing step between a group's first and last day.
 
     Each row stretches to the day before the next one, so no calendar has to be
     joined. The input has one row per day, which the calendar bounds.
     """
     following = F.lead(day).over(Window.partitionBy(*by).orderBy(day))
-    until = F.coalesce(F.date_sub(following, step), F.col(day))
-    days = F.sequence(F.col(day), until, F.make_interval(days=F.lit(step)))
-    return counts.select(*by, F.col(count).alias("_n"), F.posexplode(days).alias("_pos", day)).select(
+    stretched = counts.withColumn("_until", F.coalesce(F.date_sub(following, step), F.col(day)))
+    days = F.sequence(F.col(day), F.col("_until"), F.make_interval(days=F.lit(step)))
+    return stretched.select(*by, F.col(count).alias("_n"), F.posexplode(days).alias("_pos", day)).select(
         *by, F.col(day), F.when(F.col("_pos") == 0, F.col("_n")).otherwise(F.lit(0)).cast("bigint").alias(count)
     )
 
@@ -40,7 +40,7 @@ def daily_volume(messages: DataFrame, timestamp: str = "timestamp", text: str =
     """Messages with a text per day from the first to the last day, empty days as zero."""
     dated = messages.where(F.col(timestamp).isNotNull())
     counts = dated.groupBy(F.col(timestamp).cast("date").alias("day")).agg(F.count(text).alias("messages"))
-    return _fill_gaps(counts, [], "day", "messages", 1).orderBy("day")
+    return fill_gaps(counts, [], "day", "messages", 1).orderBy("day")
 
 
 def weekly_volume(
@@ -59,7 +59,7 @@ def weekly_volume(
     counts = chosen.groupBy(F.col(language).alias("language"), sunday.alias("week")).agg(
         F.count(text).alias("messages")
     )
-    return _fill_gaps(counts, ["language"], "week", "messages", 7).orderBy("language", "week")
+    return fill_gaps(counts, ["language"], "week", "messages", 7).orderBy("language", "week")
 
 
 def length_histogram(lengths: DataFrame, length: str = "body_len", bins: int = 60, clip: int = 1000) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatseam.functions.once import with_computed
 from chatseam.functions.timestamps import MILLISECOND_THRESHOLD, from_epoch, parse_text_timestamp, parse_timestamp
 from chatseam.specs import CANONICAL_FIELDS, CorpusSpec
 
@@ -36,29 +37,19 @@ def _names(canonical: str, spec: CorpusSpec) -> list[str]:
     return list(dict.fromkeys((canonical, *spec.column_aliases.get(canonical, ()))))
 
 
+def _pick(names: Sequence[str]) -> Column:
+    """``(name, value)`` of the first field among the names that holds a value."""
+    candidates = F.array(*[F.struct(F.lit(n).alias("name"), field_text(n).alias("value")) for n in names])
+    return F.get(F.filter(candidates, lambda candidate: candidate["value"].isNotNull()), 0)
+
+
 def _first_text(names: Sequence[str]) -> Column:
     return F.coalesce(*[field_text(name) for name in names])
 
 
-def _first_name(names: Sequence[str]) -> Column:
-    """Which of the names supplied :func:`_first_text`."""
-    return F.coalesce(*[F.when(field_text(name).isNotNull(), F.lit(name)) for name in names])
-
-
-def _body(spec: CorpusSpec) -> tuple[Column, Column]:
-    """The body and the name of the field it consumed, if it consumed one."""
-    promoted = [name for name in spec.promote_body if name != "body"]
-    aliases = [name for name in _names("body", spec) if name != "body" and name not in promoted]
-    value = _first_text(["body", *promoted, *aliases])
-    consumed = F.when(F.coalesce(*[field_text(n) for n in ("body", *promoted)]).isNull(), _first_name(aliases)) if (
-        aliases
-    ) else F.lit(None).cast("string")
-    if spec.nested_body is None:
-        return value, consumed
-    has_nested = F.map_contains_key("rec", F.lit(spec.nested_body))
-    return F.when(has_nested, nested_text(field_value(spec.nested_body))).otherwise(value), F.when(
-        ~has_nested, consumed
-    )
+def _body_names(spec: CorpusSpec) -> list[str]:
+    """Where a body may come from: its own name, promoted fields, then the other aliases."""
+    return list(dict.fromkeys(("body", *spec.promote_body, *_names("body", spec))))
 
 
 def nested_text(content: Column) -> Column:
@@ -70,8 +61,8 @@ def nested_text(content: Column) -> Column:
     )
 
 
-def _file_number(spec: CorpusSpec) -> Column:
-    number = F.trim(_first_text(_names("timestamp", spec))).try_cast("double")
+def _file_number(time_text: Column) -> Column:
+    number = F.trim(time_text).try_cast("double")
     return F.when(~F.isnan(number), number)
 
 
@@ -97,7 +88,7 @@ def _file_facts(records: DataFrame, spec: CorpusSpec) -> DataFrame:
     facts = (
         records.select(
             "record_file",
-            _file_number(spec).alias("_number"),
+            _file_number(_first_text(_names("timestamp", spec))).alias("_number"),
             F.map_contains_key("rec", F.lit("type")).alias("_has_type"),
             F.coalesce(field_text("type") == (spec.event_type or ""), F.lit(False)).alias("_is_event"),
         )
@@ -122,15 +113,13 @@ def _file_facts(records: DataFrame, spec: CorpusSpec) -> DataFrame:
     )
 
 
-def _extras(consumed: Sequence[Column], spec: CorpusSpec) -> Column:
+def _extras(consumed: Column, spec: CorpusSpec) -> Column:
     """Unconsumed non-null fields, and the prefixed copies of the passthrough fields."""
-    reserved = list(RESERVED)
     copies = [(name, f"{spec.passthrough_prefix}{name}") for name in spec.passthrough]
-    used = F.array(*consumed)
 
     def is_extra(name: Column, value: Column) -> Column:
-        keep = value.isNotNull() & ~F.is_variant_null(value) & ~name.isin(reserved)
-        keep = keep & ~F.coalesce(F.array_contains(used, name), F.lit(False))
+        keep = value.isNotNull() & ~F.is_variant_null(value) & ~name.isin(*RESERVED)
+        keep = keep & ~F.coalesce(F.array_contains(consumed, name), F.lit(False))
         for source, copy in copies:
             keep = keep & ~((name == copy) & field_text(source).isNotNull())
         return keep
@@ -172,25 +161,38 @@ def flag_events(records: DataFrame, spec: CorpusSpec, file_count: int | None = N
 def normalize(records: DataFrame, spec: CorpusSpec, file_count: int | None = None) -> DataFrame:
     """Canonical fields of every raw record that passes the corpus's event filter."""
     records = flag_events(records, spec, file_count).where("_kept")
-    time_text = _first_text(_names("timestamp", spec))
+    picked = with_computed(
+        records,
+        {
+            **{f"_{name}": _pick(_names(name, spec)) for name in CANONICAL_FIELDS if name != "body"},
+            "_body": _pick(_body_names(spec)),
+        },
+    )
+    time_text = F.col("_timestamp.value")
     if spec.epoch_rule == "file_median":
         timestamp = F.when(
-            F.col("_file_numeric"), from_epoch(_file_number(spec), F.col("_file_millis"))
+            F.col("_file_numeric"), from_epoch(_file_number(time_text), F.col("_file_millis"))
         ).otherwise(parse_text_timestamp(time_text))
     else:
         timestamp = parse_timestamp(time_text)
 
-    body, body_field = _body(spec)
-    consumed = [
-        _first_name(_names(name, spec)) for name in ("msg_id", "timestamp", "sender", "recipient")
-    ] + [body_field]
-    normalized = records.select(
+    body, body_field = F.col("_body.value"), F.col("_body.name")
+    if spec.promote_body:
+        body_field = F.when(~body_field.isin(*spec.promote_body), body_field)
+    if spec.nested_body is not None:
+        has_nested = F.map_contains_key("rec", F.lit(spec.nested_body))
+        body = F.when(has_nested, nested_text(field_value(spec.nested_body))).otherwise(body)
+        body_field = F.when(~has_nested, body_field)
+    consumed = F.array(
+        *[F.col(f"_{name}.name") for name in CANONICAL_FIELDS if name != "body"], body_field
+    )
+    normalized = picked.select(
         *POSITION,
         F.coalesce(field_text("source_file"), F.col("source_file"), F.lit("unknown")).alias("source_file"),
-        _first_text(_names("msg_id", spec)).alias("msg_id"),
+        F.col("_msg_id.value").alias("msg_id"),
         timestamp.alias("timestamp"),
-        _first_text(_names("sender", spec)).alias("sender"),
-        _first_text(_names("recipient", spec)).alias("recipient"),
+        F.col("_sender.value").alias("sender"),
+        F.col("_recipient.value").alias("recipient"),
         body.alias("body"),
         field_text("language").alias("language"),
         _extras(consumed, spec).alias("extras"),

@@ -89,7 +89,8 @@ def bm25_search(documents: DataFrame, queries: Mapping[str, str], k: int = TOP_K
 
 def vector_scores(vectors: DataFrame, query_vector: Column, key: str, vector: str) -> DataFrame:
     """``(key, score)``: cosine similarity of every vector to one query vector."""
-    return vectors.select(key, cosine(F.col(vector), query_vector).alias("score"))
+    paired = vectors.select(key, vector, query_vector.alias("_query"))
+    return paired.select(key, cosine(F.col(vector), F.col("_query")).alias("score"))
 
 
 def _min_max(scores: DataFrame, key: str, name: str) -> DataFrame:

@@ -19,7 +19,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatseam.functions.json import VARIANT_MAP, as_record, complete_json, document_items
+from chatseam.functions.json import VARIANT_MAP, as_record, complete_json, document_items, object_items
+from chatseam.functions.once import with_computed
 from chatseam.functions.text import strip
 from chatseam.session import prepare
 from chatseam.sources.listing import FileEntry, directory_exists, escape_glob, list_files, qualified
@@ -78,9 +79,7 @@ def _record_file(spark: SparkSession, directory: str) -> Column:
 def _json_documents(
     spark: SparkSession,
     directory: str,
-    envelope_keys: Sequence[str],
     recursive: bool,
-    bare_object: bool,
 ) -> DataFrame | None:
     prepare(spark)
     if not list_files(spark, directory, ".json", recursive):
@@ -89,7 +88,7 @@ def _json_documents(
     return text.select(
         F.col("_metadata.file_name").alias("source_file"),
         _record_file(spark, directory).alias("record_file"),
-        document_items(F.make_valid_utf8("value"), envelope_keys, bare_object).alias("items"),
+        F.make_valid_utf8("value").alias("value"),
     )
 
 
@@ -105,17 +104,21 @@ def read_json(
     A document is one task's row until it is exploded. Input that comes in very
     large files should be newline-delimited and read with :func:`read_text`.
     """
-    documents = _json_documents(spark, directory, envelope_keys, recursive, bare_object)
+    documents = _json_documents(spark, directory, recursive)
     if documents is None:
         return empty_records(spark)
-    items = documents.select("source_file", "record_file", F.posexplode("items").alias("ordinal", "item"))
-    return items.select(
+    items = document_items(F.col("value"), envelope_keys, bare_object)
+    # The parse sits inside the generator, where no filter can repeat it.
+    parsed = documents.select(
+        "source_file", "record_file", F.posexplode(F.transform(items, as_record)).alias("ordinal", "rec")
+    )
+    return parsed.where("rec IS NOT NULL").select(
         "source_file",
         "record_file",
         F.lit(JSON_RANK).alias("format_rank"),
         F.col("ordinal").cast("bigint"),
-        as_record(F.col("item")).alias("rec"),
-    ).where("rec IS NOT NULL")
+        "rec",
+    )
 
 
 def json_rejects(
@@ -125,17 +128,21 @@ def json_rejects(
     recursive: bool = False,
 ) -> DataFrame:
     """Documents that are no JSON list or object, and list items that are no objects."""
-    documents = _json_documents(spark, directory, envelope_keys, recursive, True)
+    documents = _json_documents(spark, directory, recursive)
     if documents is None:
         return empty_rejects(spark)
-    files = documents.where("items IS NULL").select(
-        "source_file", "record_file", F.lit("not a JSON list or object").alias("reason")
-    )
-    items = documents.select("source_file", "record_file", F.posexplode("items").alias("pos", "item"))
-    bad_items = items.where(as_record(F.col("item")).isNull()).select(
-        "source_file", "record_file", F.concat(F.lit("item "), "pos", F.lit(" is not an object")).alias("reason")
+    items = document_items(F.col("value"), envelope_keys, True)
+    reasons = F.when(items.isNull(), F.array(F.lit("not a JSON list or object"))).otherwise(
+        F.array_compact(
+            F.transform(
+                items,
+                lambda item, pos: F.when(
+                    as_record(item).isNull(), F.concat(F.lit("item "), pos, F.lit(" is not an object"))
+                ),
+            )
+        )
     )
-    return files.unionByName(bad_items)
+    return documents.select("source_file", "record_file", F.explode(reasons).alias("reason"))
 
 
 # --- positions in splittable files -------------------------------------------
@@ -212,29 +219,23 @@ def read_text(
         *_position(),
     )
     lines = _number_rows(scan, _split_bound(spark, files)).where("line <> ''")
-    # Most chat lines cannot be JSON; their first character already tells.
-    value = F.when(F.col("line").rlike(r'^[\[{"\-0-9tfnNI]'), complete_json(F.col("line")))
+    line = F.col("line")
+    # The first character tells most lines apart: objects are parsed once, and
+    # chat text that cannot be JSON is not parsed at all.
+    parsed = with_computed(lines, {"items": F.when(line.startswith("{"), object_items(line))})
     stem = F.regexp_replace("source_file", r"(?<=.)\.[^.]*$", "")
     plain = F.create_map(
         F.lit("body"),
-        F.col("line").cast("variant"),
+        line.cast("variant"),
         F.lit("msg_id"),
         F.concat(stem, F.lit("_"), (F.col("ordinal") + 1).cast("string")).cast("variant"),
+    ).cast(VARIANT_MAP)
+    other_json = line.rlike(r'^[\["\-0-9tfnNI]') & (
+        complete_json(line).isNotNull() | line.isin("NaN", "Infinity", "-Infinity")
     )
-    python_number = F.col("line").isin("NaN", "Infinity", "-Infinity")
-    return (
-        lines.withColumn("value", value)
-        .select(
-            "source_file",
-            "record_file",
-            F.lit(TEXT_RANK).alias("format_rank"),
-            "ordinal",
-            F.when(F.col("value").isNotNull() | python_number, as_record(F.col("value")))
-            .otherwise(plain)
-            .cast(VARIANT_MAP)
-            .alias("rec"),
-        )
-        .where("rec IS NOT NULL")
+    record = F.when(F.size("items") == 1, F.col("items")[0]).when(~other_json, plain)
+    return with_computed(parsed, {"rec": record}, keep=lambda row: row["rec"].isNotNull()).select(
+        "source_file", "record_file", F.lit(TEXT_RANK).alias("format_rank"), "ordinal", "rec"
     )
 
 
