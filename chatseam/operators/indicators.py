@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
+# Spelled out because what \b takes for a word differs between Java versions.
+WORD_START = r"(?<![\p{L}\p{N}_])"
+WORD_END = r"(?![\p{L}\p{N}_])"
+
 PATTERNS: dict[str, str] = {
-    "btc": r"\b(?:bc1[a-z0-9]{25,59}|[13][1-9A-HJ-NP-Za-km-z]{25,34})\b",
-    "cve": r"(?i:\bCVE-[0-9]{4}-[0-9]{4,7}\b)",
+    "btc": rf"{WORD_START}(?:bc1[a-z0-9]{{25,59}}|[13][1-9A-HJ-NP-Za-km-z]{{25,34}}){WORD_END}",
+    "cve": rf"(?i:{WORD_START}CVE-[0-9]{{4}}-[0-9]{{4,7}}{WORD_END})",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "eth": r"\b0x[0-9a-fA-F]{40}\b",
-    "ipv4": rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b",
+    "eth": rf"{WORD_START}0x[0-9a-fA-F]{{40}}{WORD_END}",
+    "ipv4": rf"{WORD_START}(?:{_OCTET}\.){{3}}{_OCTET}{WORD_END}",
     "url": r"https?://[^\s<>\"']+",
 }
 
@@ -32,7 +36,7 @@ TOOL_NAMES = (
 def word_list_pattern(names: Sequence[str]) -> str:
     """A case-insensitive pattern for whole names, longer ones first."""
     ordered = sorted(names, key=lambda name: (-len(name), name))
-    return rf"(?i:\b(?:{'|'.join(re.escape(name) for name in ordered)})\b)"
+    return rf"(?iu:{WORD_START}(?:{'|'.join(re.escape(name) for name in ordered)}){WORD_END})"
 
 
 def _found(text: Column, kind: str, pattern: str) -> Column:

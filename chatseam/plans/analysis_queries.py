@@ -464,24 +464,44 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOOLS = (*I.TOOL_NAMES, "hahaha", "the by", "nicht")
 
 
+def _sql_pattern(pattern: str) -> str:
+    """The pattern without look-around, which the checking engine lacks."""
+    pattern = pattern.replace(I.WORD_START, r"\b").replace(I.WORD_END, r"\b")
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 def _indicator_sql(patterns: dict[str, str]) -> str:
     return " UNION ALL ".join(
         f"SELECT doc_id, '{kind}' AS kind, unnest(found) AS value, generate_subscripts(found, 1)::BIGINT AS start_no"
-        f" FROM (SELECT doc_id, regexp_extract_all(text, '{pattern.replace(chr(39), chr(39) * 2)}') AS found FROM documents)"
+        f" FROM (SELECT doc_id, regexp_extract_all(text, {_sql_pattern(pattern)}) AS found FROM documents)"
         for kind, pattern in patterns.items()
     )
 
 
+# Every character between words is doubled, so that two names can each take one
+# as their border; names with a space are written with two.
+_TOOL_SQL = rf"""
+SELECT doc_id, 'tool' AS kind, replace(unnest(found), '  ', ' ') AS value, generate_subscripts(found, 1)::BIGINT AS start_no
+FROM (SELECT doc_id, regexp_extract_all(
+        ' ' || regexp_replace(text, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') || ' ',
+        '(?i)[^\p{{L}}\p{{N}}_]({"|".join(sorted((name.replace(" ", "  ") for name in TOOLS), key=len, reverse=True))})[^\p{{L}}\p{{N}}_]', 1) AS found
+      FROM documents)
+"""
+
+
 @query("indicators", _indicator_sql(I.PATTERNS))
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = I.extract_indicators(T.document_messages(spark, sf_dir), key="doc_id")
     return found.withColumn("start_no", F.col("start_no").cast("bigint"))
 
 
-@query("page_urls", """
+@query(
+    "page_urls",
+    f"""
 SELECT page_id, 'url' AS kind, unnest(found) AS value, generate_subscripts(found, 1)::BIGINT AS start_no
-FROM (SELECT page_id, regexp_extract_all(url, '""" + I.PATTERNS["url"].replace("'", "''") + """') AS found FROM pages)
-""")
+FROM (SELECT page_id, regexp_extract_all(url, {_sql_pattern(I.PATTERNS["url"])}) AS found FROM pages)
+""",
+)
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = I.extract_indicators(
         T.table(spark, sf_dir, "pages"), key="page_id", text="url", patterns={"url": I.PATTERNS["url"]}
@@ -489,7 +509,7 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("start_no", F.col("start_no").cast("bigint"))
 
 
-@query("tool_mentions", _indicator_sql({"tool": I.word_list_pattern(TOOLS)}))
+@query("tool_mentions", _TOOL_SQL)
 def tool_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = I.extract_indicators(T.document_messages(spark, sf_dir), key="doc_id", patterns={}, tools=TOOLS)
     return found.withColumn("start_no", F.col("start_no").cast("bigint"))

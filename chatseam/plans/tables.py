@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatseam.session import prepare
+from chatseam.session import prepare, spread
 from chatseam.specs import CorpusSpec
 
 CONVERSATIONS = CorpusSpec(
@@ -51,8 +51,13 @@ EVENTS = CorpusSpec(
 SPECS = {spec.name: spec for spec in (CONVERSATIONS, DOCUMENTS, EVENTS)}
 
 
+# Tables whose rows are costly enough to be worth spreading when the file is small.
+_TEXT_TABLES = ("documents", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    data = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(data) if name in _TEXT_TABLES else data
 
 
 def _record(fields: dict[str, Column]) -> Column:

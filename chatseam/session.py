@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: they may be applied to a session somebody else built.
 REQUIRED_SETTINGS = {
@@ -20,3 +20,14 @@ def prepare(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
+
+
+def spread(data: DataFrame) -> DataFrame:
+    """Use all cores on an input that arrives in fewer partitions than there are cores.
+
+    A single small file is one task, however costly its rows are to process.
+    Input that already fills the cluster, which any large table does, is
+    returned as it is.
+    """
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    return data if data.rdd.getNumPartitions() >= cores else data.repartition(cores)
