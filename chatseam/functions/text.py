@@ -47,13 +47,20 @@ def tokens(text: Column, stop_words: Iterable[str] = ()) -> Column:
 
 def with_bigrams(words: Column) -> Column:
     """The words followed by every pair of neighbours joined with a space."""
-    count = F.size(words)
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(count - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(count - 1, F.lit(0))),
-        lambda left, right: F.concat_ws(" ", left, right),
-    )
-    return F.concat(words, pairs)
+
+    def add_pairs(found: Column) -> Column:
+        pairs = F.greatest(F.size(found) - 1, F.lit(0))
+        return F.concat(
+            found,
+            F.zip_with(
+                F.slice(found, 1, pairs),
+                F.slice(found, 2, pairs),
+                lambda left, right: F.concat(left, F.lit(" "), right),
+            ),
+        )
+
+    # As a lambda variable the words are cut out of the text once, not per use.
+    return F.transform(F.array(words), add_pairs)[0]
 
 
 def chunks(text: Column, width: int = 512) -> Column:

@@ -88,9 +88,8 @@ def _dedup_key(column: str) -> Column:
 def fill_language(messages: DataFrame, text: str = "body", language: str = "language") -> DataFrame:
     """Detect the language where it is null or ``unknown``; keep it elsewhere."""
     known = F.col(language) if language in messages.columns else F.lit(None).cast("string")
-    return messages.withColumn(
-        language, F.when(needs_detection(known), detect_language(F.col(text))).otherwise(known)
-    )
+    filled = F.when(needs_detection(known), detect_language(F.col(text))).otherwise(known)
+    return with_computed(messages, {language: filled})
 
 
 def metadata_json() -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatseam.functions.once import with_computed
 from chatseam.functions.text import tokens
 from chatseam.functions.vectors import cosine
 
@@ -40,17 +41,18 @@ def bm25_scores(
     vocabulary = sorted({term for found in wanted.values() for term in found})
     if not vocabulary:
         raise ValueError("no query has a term to search for")
-    parsed = documents.select(key, tokens(F.col(text)).alias("_tokens")).select(
-        key,
-        F.size("_tokens").alias("_length"),
-        F.filter("_tokens", lambda token: token.isin(vocabulary)).alias("_hits"),
-    )
+    parsed = with_computed(documents.select(key, text), {"_tokens": tokens(F.col(text))}).drop(text)
     facts = parsed.agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("_length").alias("mean_length"),
-        F.array(*[F.count_if(F.array_contains("_hits", term)) for term in vocabulary]).alias("df"),
+        F.avg(F.size("_tokens")).alias("mean_length"),
+        F.array(*[F.count_if(F.array_contains("_tokens", term)) for term in vocabulary]).alias("df"),
     ).select(F.struct("*").alias("facts"))
-    scored = parsed.where(F.size("_hits") > 0).withColumn("_facts", facts.scalar())
+    matching = with_computed(
+        parsed.withColumn("_length", F.size("_tokens")),
+        {"_hits": F.filter("_tokens", lambda token: token.isin(vocabulary))},
+        keep=lambda row: F.size(row["_hits"]) > 0,
+    )
+    scored = matching.select(key, "_length", "_hits", facts.scalar().alias("_facts"))
     length_norm = k1 * (1 - b + b * F.col("_length") / F.col("_facts.mean_length"))
 
     def term_score(term: str) -> Column:

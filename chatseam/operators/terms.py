@@ -56,8 +56,9 @@ def vocabulary_counts(
 ) -> DataFrame:
     """Term counts restricted to terms found in at least ``min_df`` documents."""
     counts = term_counts(documents, key, text, stop_words, bigrams)
-    # Both uses of the counts read the same shuffle files.
-    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df)
+    # Reading n here too keeps both uses of the counts alike, so that the planner
+    # shuffles them once.
+    vocabulary = counts.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("_df")).where(F.col("_df") >= min_df)
     return counts.join(vocabulary.select("term"), "term").select(key, "term", "n")
 
 

@@ -52,12 +52,12 @@ SPECS = {spec.name: spec for spec in (CONVERSATIONS, DOCUMENTS, EVENTS)}
 
 
 # Tables whose rows are costly enough to be worth spreading when the file is small.
-_TEXT_TABLES = ("documents", "conversations")
+_COSTLY_TABLES = ("documents", "conversations", "events")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     data = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(data) if name in _TEXT_TABLES else data
+    return spread(data) if name in _COSTLY_TABLES else data
 
 
 def _record(fields: dict[str, Column]) -> Column:
