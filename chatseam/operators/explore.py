@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,54 +103,82 @@ def length_histogram(lengths: DataFrame, length: str = "body_len", bins: int = 6
 
 _SKETCH_ACCURACY = 10_000
 _MARGIN = 3 / _SKETCH_ACCURACY
+_CELLS = 4096
 
 
 def exact_quantiles(rows: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
     """One row with the exact, linearly interpolated quantiles, one column ``q<i>`` each.
 
-    No task sees more than a sliver of the data. A sketch brackets every
+    No task orders more than a sliver of the data. A sketch brackets every
     quantile; its error bound puts the true value inside the bracket. A second
     pass counts equal values inside the brackets and lumps everything between
-    two brackets into one count, and only those counts are ordered.
+    two brackets into one count. Each bracket is cut into cells; running totals
+    over the cells tell which few hold the wanted ranks, and only the distinct
+    values of those are put in order.
     """
-    present = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
-    edges = [
-        (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0)) for p in probabilities
-    ]
+    edges = [(max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0)) for p in probabilities]
     if any(later[0] <= earlier[1] for earlier, later in zip(edges, edges[1:])):
         raise ValueError("probabilities have to be ascending and further apart than the sketch's error")
+    present = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
     sketch = F.percentile_approx("_v", [edge for pair in edges for edge in pair], _SKETCH_ACCURACY)
     known = present.agg(sketch.alias("edges"), F.count(F.lit(1)).alias("n"))
     known = known.select(F.struct("edges", "n").alias("known")).scalar()
-    marked = present.withColumn("_known", known)
 
-    inside, gap = F.lit(False), F.lit(None)
-    for i in range(len(probabilities)):
-        low, high = F.col("_known.edges")[2 * i], F.col("_known.edges")[2 * i + 1]
-        inside = inside | F.col("_v").between(low, high)
-        gap = F.when(F.col("_v") > high, high) if i == 0 else F.when(F.col("_v") > high, high).otherwise(gap)
     counts = (
-        marked.select(
-            F.when(inside, F.col("_v")).otherwise(gap).alias("_at"), (~inside).alias("_gap")
-        )
-        .groupBy("_at", "_gap")
+        present.withColumn("_known", known)
+        .select(_cell_of(F.col("_v"), F.col("_known.edges"), len(edges)).alias("_c"))
+        .groupBy(F.col("_c.part").alias("_part"), F.col("_c.cell").alias("_cell"), F.col("_c.at").alias("_at"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    order = Window.orderBy(F.col("_at").asc_nulls_first(), "_gap")
-    running = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_total", known["n"])
+    cells = counts.groupBy("_part", "_cell").agg(F.sum("_n").alias("_cell_n"), F.max("_at").alias("_top"))
+    upto = F.sum("_cell_n").over(Window.orderBy("_part", "_cell"))
+    cells = cells.withColumn("_before", upto - F.col("_cell_n")).withColumn("_total", known["n"])
+    places = [(F.col("_total") - 1) * F.lit(float(p)) for p in probabilities]
+    wanted = F.lit(False)
+    for index in (end(place) for place in places for end in (F.floor, F.ceil)):
+        wanted = wanted | ((F.col("_before") <= index) & (index < F.col("_before") + F.col("_cell_n")))
+    # At most two cells per quantile.
+    chosen = F.broadcast(cells.where(wanted).select("_part", "_cell", "_before", "_total"))
+    order = Window.partitionBy("_part", "_cell").orderBy("_at")
+    running = counts.join(chosen, ["_part", "_cell"]).withColumn(
+        "_upto", F.col("_before") + F.sum("_n").over(order)
+    )
 
-    def value_at(index):
-        return F.min(F.when(~F.col("_gap") & (F.col("_upto") > index), F.col("_at"))).cast("double")
+    def value_at(index: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > index, F.col("_at"))).cast("double")
 
     columns = []
-    for i, p in enumerate(probabilities):
-        place = (F.col("_total") - 1) * F.lit(p)
+    for i, place in enumerate(places):
         low, high = value_at(F.floor(place)), value_at(F.ceil(place))
-        weight = F.max(place - F.floor(place))
-        columns.append((low + (high - low) * weight).alias(f"q{i}"))
+        columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"q{i}"))
     return running.agg(*columns)
 
 
+def _cell_of(value: Column, edges: Column, brackets: int) -> Column:
+    """``(part, cell, at)``, never decreasing in the value.
+
+    Inside bracket ``i`` the part is ``i`` and ``at`` the value; behind it, the
+    part is ``i`` too, in a last cell without a value.
+    """
+
+    def inside(i: int) -> Column:
+        low, high = edges[2 * i].cast("double"), edges[2 * i + 1].cast("double")
+        share = F.when(high > low, (value.cast("double") - low) / (high - low)).otherwise(F.lit(0.0))
+        return F.struct(
+            F.lit(i).alias("part"), F.floor(share * _CELLS).cast("int").alias("cell"), value.alias("at")
+        )
+
+    def behind(i: int) -> Column:
+        nothing = F.when(F.lit(False), value)
+        return F.struct(F.lit(i).alias("part"), F.lit(_CELLS + 1).alias("cell"), nothing.alias("at"))
+
+    cell = behind(brackets - 1)
+    for i in reversed(range(brackets)):
+        in_bracket = F.when(value >= edges[2 * i], inside(i)).otherwise(behind(i - 1))
+        cell = F.when(value <= edges[2 * i + 1], in_bracket).otherwise(cell)
+    return cell
+
+
 def describe(rows: DataFrame, column: str) -> DataFrame:
     """Count, mean, standard deviation, minimum, quartiles and maximum of a numeric column."""
     quartiles = exact_quantiles(rows, column, (0.25, 0.5, 0.75))

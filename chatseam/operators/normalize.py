@@ -39,8 +39,15 @@ def _names(canonical: str, spec: CorpusSpec) -> list[str]:
 
 def _pick(names: Sequence[str]) -> Column:
     """``(name, value)`` of the first field among the names that holds a value."""
-    candidates = F.array(*[F.struct(F.lit(n).alias("name"), field_text(n).alias("value")) for n in names])
-    return F.get(F.filter(candidates, lambda candidate: candidate["value"].isNotNull()), 0)
+    candidates = ", ".join(
+        f"struct({name} AS name, try_variant_get(element_at(rec, {name}), '$', 'string') AS value)"
+        for name in map(_sql_text, names)
+    )
+    return F.expr(f"get(filter(array({candidates}), c -> c.value IS NOT NULL), 0)")
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _first_text(names: Sequence[str]) -> Column:

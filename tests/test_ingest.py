@@ -475,3 +475,10 @@ def test_transform_hook(spark):
     spec = replace(get_spec("conti"), transform=lambda frame: frame.where("sender = 'ann'"))
     frame = records(spark, [("f", 0, {"from": "ann", "text": "first text"}), ("f", 1, {"from": "bob", "text": "other text"})])
     assert canonical_messages(frame, spec).count() == 1
+
+
+def test_alias_names_may_hold_quotes(spark):
+    spec = CorpusSpec("odd", {"body": ("it's", "back\\slash")})
+    rows = [("f", 0, {"it's": "quoted name"}), ("f", 1, {"back\\slash": "escaped name"})]
+    got = normalize(records(spark, rows), spec).orderBy("ordinal").collect()
+    assert [r.body for r in got] == ["quoted name", "escaped name"]
