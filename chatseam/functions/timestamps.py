@@ -11,19 +11,13 @@ MILLISECOND_THRESHOLD = 1e10
 # Shape of the text -> pattern. A pattern is tried only on text of its shape,
 # because a failing parse costs far more than the test. Month comes first where
 # day and month are both numbers; dots put the day first.
+_CLOCK = r"( \d{1,2}:\d{2}(:\d{2})?)?$"
 _SHAPES = (
     (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$", "y/M/d H:mm"),
-    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "y/M/d H:mm:ss"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/y H:mm"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/y H:mm:ss"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.y"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{2}$", "d.M.y H:mm"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4} \d{1,2}:\d{2}:\d{2}$", "d.M.y H:mm:ss"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2}$", "d MMM y H:mm:ss"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2} [+-]\d{4}$", "d MMM y H:mm:ss xx"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}" + _CLOCK, "y/M/d[ H:mm[:ss]]"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}" + _CLOCK, "M/d/y[ H:mm[:ss]]"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}" + _CLOCK, "d.M.y[ H:mm[:ss]]"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2}( [+-]\d{4})?$", "d MMM y H:mm:ss[ xx]"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, y"),
 )
 _ISO_SHAPE = r"^\d{4}(-\d|$)"
