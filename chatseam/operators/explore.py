@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,47 +115,50 @@ def exact_quantiles(rows: DataFrame, column: str, probabilities: Sequence[float]
     pass counts equal values inside the brackets and lumps everything between
     two brackets into one count. Each bracket is cut into cells; running totals
     over the cells tell which few hold the wanted ranks, and only the distinct
-    values of those are put in order.
+    values of those are put in order. The sketch is taken when this is called:
+    its few numbers become constants of the plan.
     """
     edges = [(max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0)) for p in probabilities]
     if any(later[0] <= earlier[1] for earlier, later in zip(edges, edges[1:])):
         raise ValueError("probabilities have to be ascending and further apart than the sketch's error")
     present = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"))
     sketch = F.percentile_approx("_v", [edge for pair in edges for edge in pair], _SKETCH_ACCURACY)
-    known = present.agg(sketch.alias("edges"), F.count(F.lit(1)).alias("n"))
-    known = known.select(F.struct("edges", "n").alias("known")).scalar()
+    known = present.agg(sketch.alias("edges"), F.count(F.lit(1)).alias("n")).first()
+    total = known["n"]
+    if total == 0:
+        return present.limit(0).agg(*[F.max("_v").cast("double").alias(f"q{i}") for i in range(len(edges))])
+    limits = [F.lit(edge) for edge in known["edges"]]
 
     counts = (
-        present.withColumn("_known", known)
-        .select(_cell_of(F.col("_v"), F.col("_known.edges"), len(edges)).alias("_c"))
+        present.select(_cell_of(F.col("_v"), limits).alias("_c"))
         .groupBy(F.col("_c.part").alias("_part"), F.col("_c.cell").alias("_cell"), F.col("_c.at").alias("_at"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     cells = counts.groupBy("_part", "_cell").agg(F.sum("_n").alias("_cell_n"), F.max("_at").alias("_top"))
     upto = F.sum("_cell_n").over(Window.orderBy("_part", "_cell"))
-    cells = cells.withColumn("_before", upto - F.col("_cell_n")).withColumn("_total", known["n"])
-    places = [(F.col("_total") - 1) * F.lit(float(p)) for p in probabilities]
+    cells = cells.withColumn("_before", upto - F.col("_cell_n"))
+    places = [(total - 1) * p for p in probabilities]
     wanted = F.lit(False)
-    for index in (end(place) for place in places for end in (F.floor, F.ceil)):
-        wanted = wanted | ((F.col("_before") <= index) & (index < F.col("_before") + F.col("_cell_n")))
+    for index in {end(place) for place in places for end in (math.floor, math.ceil)}:
+        wanted = wanted | ((F.col("_before") <= index) & (F.lit(index) < F.col("_before") + F.col("_cell_n")))
     # At most two cells per quantile.
-    chosen = F.broadcast(cells.where(wanted).select("_part", "_cell", "_before", "_total"))
+    chosen = F.broadcast(cells.where(wanted).select("_part", "_cell", "_before"))
     order = Window.partitionBy("_part", "_cell").orderBy("_at")
     running = counts.join(chosen, ["_part", "_cell"]).withColumn(
         "_upto", F.col("_before") + F.sum("_n").over(order)
     )
 
-    def value_at(index: Column) -> Column:
+    def value_at(index: int) -> Column:
         return F.min(F.when(F.col("_upto") > index, F.col("_at"))).cast("double")
 
     columns = []
     for i, place in enumerate(places):
-        low, high = value_at(F.floor(place)), value_at(F.ceil(place))
-        columns.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"q{i}"))
+        low, high = value_at(math.floor(place)), value_at(math.ceil(place))
+        columns.append((low + (high - low) * (place - math.floor(place))).alias(f"q{i}"))
     return running.agg(*columns)
 
 
-def _cell_of(value: Column, edges: Column, brackets: int) -> Column:
+def _cell_of(value: Column, edges: Sequence[Column]) -> Column:
     """``(part, cell, at)``, never decreasing in the value.
 
     Inside bracket ``i`` the part is ``i`` and ``at`` the value; behind it, the
@@ -172,6 +176,7 @@ def _cell_of(value: Column, edges: Column, brackets: int) -> Column:
         nothing = F.when(F.lit(False), value)
         return F.struct(F.lit(i).alias("part"), F.lit(_CELLS + 1).alias("cell"), nothing.alias("at"))
 
+    brackets = len(edges) // 2
     cell = behind(brackets - 1)
     for i in reversed(range(brackets)):
         in_bracket = F.when(value >= edges[2 * i], inside(i)).otherwise(behind(i - 1))
