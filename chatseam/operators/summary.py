@@ -7,13 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatseam.specs import CorpusSpec
-
-SUMMARY_COLUMNS = (
-    "dataset", "records_raw", "records_after_normalize", "records_after_clean", "records_written",
-    "drop_rate", "language_distribution",
-)
-
+from chatseam.specs import CorpusSpec, registered_names
 
 def drop_rate(written: Column, raw: Column) -> Column:
     return F.when(raw > 0, F.round(1 - written / raw, 4)).otherwise(F.lit(0.0))
@@ -53,8 +47,6 @@ def catalog(spark: SparkSession, specs: Mapping[str, CorpusSpec]) -> DataFrame:
 
     A built-in corpus without a configuration entry is listed as disabled.
     """
-    from chatseam.specs import registered_names
-
     rows = [
         (name, specs[name].enabled, specs[name].display_name) if name in specs else (name, False, name)
         for name in registered_names(specs)
