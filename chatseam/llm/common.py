@@ -72,3 +72,8 @@ def with_sum_before(
         .withColumn(into, F.col("_start") + F.sum("_value").over(in_piece) - F.col("_value"))
         .drop("_piece", "_value", "_start")
     )
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of few rows, so that long ones don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,6 +1,6 @@
 """Importing this module registers every query of the package."""
 
-from chatseam.llm import mixing, sharding  # noqa: F401
+from chatseam.llm import line_dedup, mixing, sharding, simhash  # noqa: F401
 from chatseam.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
