@@ -1,6 +1,6 @@
 """Importing this module registers every query of the package."""
 
-from chatseam.llm import line_dedup, mixing, neighbours, pii, quality, sharding, simhash, urls  # noqa: F401
+from chatseam.llm import line_dedup, mixing, neighbours, pii, quality, sharding, simhash, suffixes, urls  # noqa: F401
 from chatseam.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
