@@ -46,25 +46,18 @@ def source_targets(sizes: DataFrame, weights: int = 3, most_epochs: int = 3) ->
     )
 
 
-def mix(documents: DataFrame, weights: int = 3, most_epochs: int = 3, seed: int = SEED) -> DataFrame:
-    """How many words the mix takes of each document.
-
-    Returns ``doc_id, source, size, source_size, target, taken``; one row for each input row.
-    ``taken`` is ``size`` times the whole epochs of the source, plus what the last epoch takes.
-    Null or empty text has no words and gives none. A null source is a source of its own, ranked
-    last. Null ids share one key; repeated rows are taken like different ones (rows equal in id
-    and size are interchangeable). An empty table gives an empty result. Other columns play no part.
-    """
-    rows = stored(
-        documents.select(
-            "doc_id",
-            "source",
+def _sized(documents: DataFrame, seed: int) -> DataFrame:
+    return documents.withColumns(
+        {
             # A name that is never null and sorts like the source, nulls last.
-            F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("_source"),
-            word_count(F.col("text")).alias("_size"),
-            random_key(seed, "doc_id").alias("_key"),
-        )
+            "_source": F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")),
+            "_size": word_count(F.col("text")),
+            "_key": random_key(seed, "doc_id"),
+        }
     )
+
+
+def _with_taken(rows: DataFrame, weights: int, most_epochs: int) -> DataFrame:
     sizes = rows.groupBy("_source").agg(F.sum("_size").alias("_words"))
     placed = with_sum_before(rows, "_source", "_key", F.col("_size"), "_before", ("doc_id", "_size"))
     budget = F.round("_target").cast("bigint")
@@ -72,16 +65,40 @@ def mix(documents: DataFrame, weights: int = 3, most_epochs: int = 3, seed: int
     epochs = F.floor(budget / words)
     rest = budget - epochs * words
     taken = epochs * F.col("_size") + F.greatest(F.lit(0), F.least("_size", rest - F.col("_before")))
-    return placed.join(source_targets(sizes, weights, most_epochs), "_source").select(
+    return placed.join(source_targets(sizes, weights, most_epochs), "_source").withColumn("_taken", taken.cast("bigint"))
+
+
+def mix(documents: DataFrame, weights: int = 3, most_epochs: int = 3, seed: int = SEED) -> DataFrame:
+    """How many words the mix takes of each document.
+
+    Returns ``doc_id, source, size, source_size, target, taken``; one row for each input row.
+    ``taken`` is ``size`` times the whole epochs of the source, plus what the last epoch takes.
+    Null or empty text has no words and gives none. A null source is a source of its own, ranked
+    last. Null ids share one key; repeated rows are taken like different ones (rows equal in id
+    and size are interchangeable). An empty table gives an empty result. Other columns play no part.
+    """
+    rows = stored(_sized(documents, seed).select("doc_id", "source", "_source", "_size", "_key"))
+    return _with_taken(rows, weights, most_epochs).select(
         "doc_id",
         "source",
         F.col("_size").alias("size"),
         F.col("_source_words").alias("source_size"),
         F.col("_target").alias("target"),
-        taken.cast("bigint").alias("taken"),
+        F.col("_taken").alias("taken"),
     )
 
 
+def mixed_documents(documents: DataFrame, weights: int = 3, most_epochs: int = 3, seed: int = SEED) -> DataFrame:
+    """The mix itself: whole documents, each as often as its source's epochs reach it.
+
+    A document that the budget cuts is given whole, so a source gives less than one document more
+    than its target. Documents without words are not in a mix. Otherwise as ``mix``.
+    """
+    taken = _with_taken(_sized(documents, seed), weights, most_epochs).where("_taken > 0")
+    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
+    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), times))).select(*(f"`{name}`" for name in documents.columns))
+
+
 @query(
     "op1_mixing",
     r"""

@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chatseam.llm.common import small_batches, stored, table
 from chatseam.llm.components import components
@@ -65,38 +66,44 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def near_links(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
-    """``a, b``: links that connect all fingerprints of ``prints`` (distinct ``fp``) within the distance.
+def bucket_links(keyed: DataFrame, distance: int, width: int) -> DataFrame:
+    """``a, b``: links that connect all ids of ``choice, key, id, w0 ..`` that share a bucket and lie within the distance.
 
-    A bucket holds the fingerprints that agree in the chosen blocks. It is searched by removal: what
-    is found near leaves the pool, so a dense bucket shrinks fast and gives a spanning forest, one
-    link fewer than members at most, never all its pairs.
+    A bucket is a choice and a key. A few members are compared directly; larger ones are searched by
+    removal: what is found near leaves the pool, so a dense bucket shrinks fast and gives a
+    spanning forest, one link fewer than members at most, never all its pairs.
     """
-    masks = F.array(*(F.lit(m).cast("bigint") for m in block_masks(distance, blocks)))
-    keyed = prints.select("fp", F.posexplode(masks).alias("choice", "mask")).select(
-        "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
-    )
-
-    def forest(pool: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        while len(pool) > 1:
-            front, pool = [pool[:1]], pool[1:]
-            while front and len(pool):
-                for x in front.pop():
-                    near = np.bitwise_count(pool ^ x) <= distance
-                    if near.any():
-                        found, pool = pool[near], pool[~near]
-                        yield np.full(len(found), x), found
-                        front.append(found)
+    few = 8
+    columns = ["choice", "key", "id", *(f"w{k}" for k in range(width))]
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x ^ y).sum(axis=-1) <= distance
+
+    def forest(ids: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        while len(ids) > 1:
+            front, ids, prints = [(ids[:1], prints[:1])], ids[1:], prints[1:]
+            while front and len(ids):
+                for one, x in zip(*front.pop(), strict=True):
+                    found = near(prints, x)
+                    if found.any():
+                        yield np.full(int(found.sum()), one), ids[found]
+                        front.append((ids[found], prints[found]))
+                        ids, prints = ids[~found], prints[~found]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(choice: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def links(choice: np.ndarray, key: np.ndarray, ids: np.ndarray, *words: np.ndarray) -> pa.RecordBatch:
+            prints = np.stack(words, axis=1)
             cuts = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1]), True])
             lengths = np.diff(cuts)
-            two = cuts[:-1][lengths == 2]
-            pairs = [(fp[two], fp[two + 1])]
-            pairs[0] = tuple(x[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance] for x in pairs[0])
-            for start, length in zip(cuts[:-1][lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
-                pairs.extend(forest(fp[start : start + length]))
+            bucket = np.repeat(np.arange(len(lengths)), lengths)
+            small = np.repeat(lengths <= few, lengths)
+            pairs = [(ids[:0], ids[:0])]
+            for step in range(1, few):
+                at = np.flatnonzero((bucket[step:] == bucket[:-step]) & small[step:])
+                at = at[near(prints[at], prints[at + step])]
+                pairs.append((ids[at], ids[at + step]))
+            for start, length in zip(cuts[:-1][lengths > few].tolist(), lengths[lengths > few].tolist(), strict=True):
+                pairs.extend(forest(ids[start : start + length], prints[start : start + length]))
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -104,7 +111,7 @@ def near_links(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(c).to_numpy() for c in ("choice", "key", "fp")]
+            rows = [batch.column(c).to_numpy() for c in columns]
             last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             # Only the bucket still open is held; the others are done.
@@ -116,14 +123,25 @@ def near_links(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFra
         if held:
             yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
+    small_batches(keyed.sparkSession, 10_000)
     return (
-        keyed.repartition("choice", "key")
-        .sortWithinPartitions("choice", "key", "fp")
+        keyed.select(*columns)
+        .repartition("choice", "key")
+        .sortWithinPartitions("choice", "key", "id")
         .mapInArrow(search, "a long, b long")
         .distinct()
     )
 
 
+def near_links(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
+    """``a, b``: links that connect all fingerprints of ``prints`` (distinct ``fp``) within the distance."""
+    masks = F.array(*(F.lit(m).cast("bigint") for m in block_masks(distance, blocks)))
+    keyed = prints.select("fp", F.posexplode(masks).alias("choice", "mask")).select(
+        "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), F.col("fp").alias("id"), F.col("fp").alias("w0")
+    )
+    return bucket_links(keyed, distance, 1)
+
+
 def near_duplicates(documents: DataFrame, size: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
     """``doc_id, fp, component_id`` of every row.
 
@@ -145,6 +163,70 @@ def near_duplicates(documents: DataFrame, size: int = 3, distance: int = 3, bloc
     return rows.join(by_print, rows["fp"] == by_print["_fp"]).select("doc_id", "fp", "component_id")
 
 
+def wide_simhash(data: bytes | None, size: int, words: int) -> np.ndarray:
+    """A fingerprint of ``words`` times 64 bits; every word takes its bits from the shingles' hashes mixed anew."""
+    hashes = shingle_hashes(data or b"", size)
+    salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * words, dtype=np.int64)
+    for k in range(0, len(hashes), 2048):
+        x = hashes[k : k + 2048, None] + salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits((counts * 2 > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def drop_near_duplicates(
+    documents: DataFrame, size: int = 5, distance: int = 50, compared: int = 4, words: int = 16, block_bits: int = 16
+) -> DataFrame:
+    """One document of each group of near duplicates, unchanged: the one of smallest id.
+
+    Copies that share four fifths of their ``size``-word shingles differ in about 15 % of a
+    fingerprint's bits, so three bits of 64 aren't reach enough and blocks of 64 bits can't be long. Here
+    fingerprints have ``words`` times 64 bits: such copies agree in one of its 64 blocks of ``block_bits`` bits in
+    over 99 % of cases. Candidates link if the first ``compared`` words differ in ``distance`` bits at most (20 %).
+    Texts without words are copies of each other. Null ids come last and are told apart by text; of repeated
+    rows one stays. Very long texts are hashed in slices. An empty table gives an empty result.
+    """
+
+    @F.arrow_udf("array<bigint>")
+    def wide(text: pa.Array) -> pa.Array:
+        prints = [wide_simhash(data, size, words) for data in text.to_pylist()]
+        flat = np.concatenate(prints) if prints else np.empty(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * words), pa.array(flat))
+
+    small_batches(documents.sparkSession)
+    named = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "_text_id": F.xxhash64("text")})
+    rows = stored(named.select("_id", "_text_id", wide(F.col("text").cast("binary")).alias("_print")).withColumn("_class", F.xxhash64("_print")))
+    classes = stored(rows.groupBy("_class").agg(F.min("_id").alias("first"), F.first("_print").alias("print")))
+    per_word = 64 // block_bits
+    mask = F.lit((1 << block_bits) - 1).cast("bigint")
+    blocks = F.array(
+        *(F.shiftrightunsigned(F.get("print", F.lit(k // per_word)), k % per_word * block_bits).bitwiseAND(mask) for k in range(words * per_word))
+    )
+    keyed = classes.select(
+        F.posexplode(blocks).alias("choice", "key"), F.col("_class").alias("id"), *(F.get("print", F.lit(k)).alias(f"w{k}") for k in range(compared))
+    )
+    roots = components(bucket_links(keyed, distance, compared), "a", "b")
+    linked = stored(
+        classes.join(roots, classes["_class"] == roots["node"], "left").select("_class", "first", F.coalesce("root", "_class").alias("_root"))
+    )
+    firsts = linked.groupBy("_root").agg(F.min("first").alias("_first"))
+    groups = linked.select("_class", "_root").join(firsts, "_root")
+    # Of every group the rows of the smallest id; of those, one text.
+    chosen = (
+        rows.join(groups, "_class").where(F.col("_id") == F.col("_first"))
+        .groupBy("_root", "_id").agg(F.min("_text_id").alias("_text_id")).select("_id", "_text_id")
+    )
+    place = Window.partitionBy("_id", "_text_id").orderBy("_id")
+    return (
+        named.join(chosen, ["_id", "_text_id"])
+        .withColumn("_place", F.row_number().over(place)).where("_place = 1")
+        .select(*(f"`{name}`" for name in documents.columns))
+    )
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = near_duplicates(table(spark, sf_dir, "documents"))
