@@ -40,6 +40,18 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def carried(documents: DataFrame, *needed: str) -> DataFrame:
+    """``text``, the needed columns, and all columns but the text in one that no name can clash with."""
+    rest = [F.col(f"`{name}`") for name in documents.columns if name != "text"]
+    return documents.select("text", *needed, F.struct(*rest).alias("_rest"))
+
+
+def restored(columns: list[str], text: Column | None = None) -> list[Column]:
+    """The columns as they were, with another text if one is given."""
+    text = F.col("text") if text is None else text
+    return [text.alias("text") if name == "text" else F.col("_rest").getField(name).alias(name) for name in columns]
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 

@@ -13,12 +13,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatseam.llm.common import small_batches, stored, table
+from chatseam.llm.common import carried, restored, small_batches, stored, table
 from chatseam.llm.registry import query
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -63,7 +64,7 @@ def line_rows(documents: DataFrame, min_chars: int = 10) -> DataFrame:
             )
 
     small_batches(documents.sparkSession)
-    texts = _document(documents).select("_id", "_text_id", F.col("text").cast("binary"))
+    texts = _document(documents.select("doc_id", "text")).select("_id", "_text_id", F.col("text").cast("binary"))
     return texts.mapInArrow(rows, "h1 long, h2 long, id long, text_id long, position int")
 
 
@@ -106,11 +107,8 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-@F.pandas_udf("binary")
-def _bitmap(dropped):
+def _bitmap(dropped: pd.Series) -> pd.Series:
     """Compressed bits, one a line up to the last dropped one: 1 for lines that stay."""
-    import pandas as pd
-
     def pack(positions) -> bytes:
         keep = np.ones(int(max(positions)) // 8 * 8 + 8, dtype=np.uint8)
         keep[positions] = 0
@@ -136,11 +134,10 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = 10) -> DataFrame:
     return (
         dropped.groupBy("id", "text_id")
         .agg(F.collect_set("position").alias("dropped"))
-        .select("id", "text_id", _bitmap("dropped").alias("keep"))
+        .select("id", "text_id", F.pandas_udf(_bitmap, "binary")("dropped").alias("keep"))
     )
 
 
-@F.arrow_udf("struct<text: string, n_lines: bigint, n_dropped: bigint>")
 def _keep_lines(text: pa.Array, keep: pa.Array) -> pa.Array:
     out, counts, drops = [], [], []
     for data, packed in zip(text.to_pylist(), keep.to_pylist(), strict=True):
@@ -173,14 +170,11 @@ def dedup_lines(documents: DataFrame, n_lines: str | None = None, n_dropped: str
     bitmaps = keep_bitmaps(documents, min_chars).select(
         F.col("id").alias("_id"), F.col("text_id").alias("_text_id"), F.col("keep").alias("_keep")
     )
-    joined = _document(documents).join(bitmaps, ["_id", "_text_id"], "left")
-    kept = joined.withColumn("_kept", _keep_lines(F.col("text").cast("binary"), "_keep"))
-
-    def column(name: str) -> Column:
-        return F.col("_kept.text").alias(name) if name == "text" else F.col(name)
+    joined = _document(carried(documents, "doc_id")).join(bitmaps, ["_id", "_text_id"], "left")
+    kept = joined.withColumn("_kept", F.arrow_udf(_keep_lines, "struct<text: string, n_lines: bigint, n_dropped: bigint>")(F.col("text").cast("binary"), "_keep"))
 
     added = [F.col("_kept." + key).alias(name) for key, name in (("n_lines", n_lines), ("n_dropped", n_dropped)) if name]
-    return kept.select(*(column(f"{name}") for name in documents.columns), *added)
+    return kept.select(*restored(documents.columns, F.col("_kept.text")), *added)
 
 
 @query(

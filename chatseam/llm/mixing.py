@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chatseam.llm.common import random_key, stored, table, with_sum_before, word_count
+from chatseam.llm.common import carried, random_key, restored, stored, table, with_sum_before, word_count
 from chatseam.llm.registry import query
 
 SEED = 42
@@ -77,7 +77,7 @@ def mix(documents: DataFrame, weights: int = 3, most_epochs: int = 3, seed: int
     last. Null ids share one key; repeated rows are taken like different ones (rows equal in id
     and size are interchangeable). An empty table gives an empty result. Other columns play no part.
     """
-    rows = stored(_sized(documents, seed).select("doc_id", "source", "_source", "_size", "_key"))
+    rows = stored(_sized(documents.select("doc_id", "source", "text"), seed).select("doc_id", "source", "_source", "_size", "_key"))
     return _with_taken(rows, weights, most_epochs).select(
         "doc_id",
         "source",
@@ -94,9 +94,9 @@ def mixed_documents(documents: DataFrame, weights: int = 3, most_epochs: int = 3
     A document that the budget cuts is given whole, so a source gives less than one document more
     than its target. Documents without words are not in a mix. Otherwise as ``mix``.
     """
-    taken = _with_taken(_sized(documents, seed), weights, most_epochs).where("_taken > 0")
+    taken = _with_taken(_sized(carried(documents, "doc_id", "source"), seed), weights, most_epochs).where("_taken > 0")
     times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), times))).select(*(f"`{name}`" for name in documents.columns))
+    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), times))).select(*restored(documents.columns))
 
 
 @query(

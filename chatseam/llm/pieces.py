@@ -172,7 +172,7 @@ def encode(documents: DataFrame, model: str = MODEL, frequent: int = 400_000) ->
     small_batches(spark)
     pieces = read_pieces(model)
     pattern, texts_of = pieces.unit_pattern(), pieces.texts()
-    rows = documents.select(
+    rows = documents.select("doc_id", "text").select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_text_id"), "text", "doc_id"
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chatseam.llm.common import small_batches, stored, table
+from chatseam.llm.common import carried, restored, small_batches, stored, table
 from chatseam.llm.registry import query
 
 GAMMA = 1.02
@@ -65,7 +65,6 @@ def measure(data: bytes | None) -> tuple[int, ...]:
     )
 
 
-@F.arrow_udf("struct<" + ", ".join(f"{name}: bigint" for name in FEATURES) + ">")
 def _features(text: pa.Array) -> pa.Array:
     rows = np.array([measure(data) for data in text.to_pylist()], dtype=np.int64).reshape(-1, len(FEATURES))
     return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(FEATURES))], list(FEATURES))
@@ -73,7 +72,8 @@ def _features(text: pa.Array) -> pa.Array:
 
 def with_features(documents: DataFrame, into: str = "_features") -> DataFrame:
     small_batches(documents.sparkSession)
-    return documents.withColumn(into, _features(F.col("text").cast("binary")))
+    kind = "struct<" + ", ".join(f"{name}: bigint" for name in FEATURES) + ">"
+    return documents.withColumn(into, F.arrow_udf(_features, kind)(F.col("text").cast("binary")))
 
 
 def base_failed(features: str = "_features") -> Column:
@@ -170,8 +170,8 @@ def filter_quality(documents: DataFrame) -> DataFrame:
     itself. Null languages and sources are groups of their own. Repeated rows are judged alike.
     Texts are measured whole and once: texts and measures are stored together. An empty table passes nothing.
     """
-    measured = stored(with_features(documents))
-    return judge(measured).where("_kept").select(*(f"`{name}`" for name in documents.columns))
+    measured = stored(with_features(carried(documents, "lang", "source")))
+    return judge(measured).where("_kept").select(*restored(documents.columns))
 
 
 _BUCKET = f"CASE WHEN value > 0 THEN ceil(ln(value) / {math.log(GAMMA)!r})::INT END"

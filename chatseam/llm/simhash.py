@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chatseam.llm.common import small_batches, stored, table
+from chatseam.llm.common import carried, restored, small_batches, stored, table
 from chatseam.llm.components import components
 from chatseam.llm.registry import query
 
@@ -197,7 +197,7 @@ def drop_near_duplicates(
         return pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * words), pa.array(flat))
 
     small_batches(documents.sparkSession)
-    named = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "_text_id": F.xxhash64("text")})
+    named = carried(documents, "doc_id").withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "_text_id": F.xxhash64("text")})
     rows = stored(named.select("_id", "_text_id", wide(F.col("text").cast("binary")).alias("_print")).withColumn("_class", F.xxhash64("_print")))
     classes = stored(rows.groupBy("_class").agg(F.min("_id").alias("first"), F.first("_print").alias("print")))
     per_word = 64 // block_bits
@@ -223,7 +223,7 @@ def drop_near_duplicates(
     return (
         named.join(chosen, ["_id", "_text_id"])
         .withColumn("_place", F.row_number().over(place)).where("_place = 1")
-        .select(*(f"`{name}`" for name in documents.columns))
+        .select(*restored(documents.columns))
     )
 
 

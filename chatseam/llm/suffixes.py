@@ -141,7 +141,7 @@ def _document(frame: DataFrame) -> DataFrame:
 def repeated_runs(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 20_000) -> DataFrame:
     """``id, text_id, runs`` of documents with repeated strings; a run is a pair of first and last start."""
     small_batches(documents.sparkSession)
-    texts = _document(documents).select("_id", "_text_id", F.col("text").cast("binary")).where(F.octet_length("text") >= length)
+    texts = _document(documents.select("doc_id", "text")).select("_id", "_text_id", F.col("text").cast("binary")).where(F.octet_length("text") >= length)
     signed = np.int64
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
