@@ -77,7 +77,8 @@ def bucket_links(keyed: DataFrame, distance: int, width: int) -> DataFrame:
     columns = ["choice", "key", "id", *(f"w{k}" for k in range(width))]
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(x ^ y).sum(axis=-1) <= distance
+        # As unsigned: of a negative number numpy counts the bits of its absolute value.
+        return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1) <= distance
 
     def forest(ids: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         while len(ids) > 1:

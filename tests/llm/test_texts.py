@@ -210,7 +210,7 @@ def components(prints, distance):
 
     for a in range(len(prints)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= distance:
+            if ((prints[a] ^ prints[b]) % (1 << 64)).bit_count() <= distance:
                 parent[root(a)] = root(b)
     return [root(k) for k in range(len(prints))]
 
@@ -228,11 +228,15 @@ def test_simhash(clashing, no_documents, rows):
     assert simhash.near_duplicates(no_documents).count() == 0
 
 
+def signed(x):
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def test_links_within_distance_are_all_found(spark):
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 40, dtype=np.int64)
-    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, n, replace=False)) for b in base for n in (1, 2, 3, 3, 3, 4, 5)]
-    dense = [int(base[0]) ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(a)]
+    base = rng.integers(-(1 << 63), 1 << 63, 40, dtype=np.int64)
+    near = [signed(int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False))) for b in base for n in (1, 2, 3, 3, 3, 4, 5)]
+    dense = [signed(int(base[0]) ^ (1 << a) ^ (1 << b)) for a in range(12) for b in range(a)]
     prints = sorted({*map(int, base), *near, *dense})
     links = simhash.near_links(spark.createDataFrame([(p,) for p in prints], "fp long"))
     from chatseam.llm.components import components as connect
