@@ -122,42 +122,45 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     marked = F.when(part.contains(MARK), None).when(F.col("at") == 1, F.regexp_replace(part, "^ ", MARK)).otherwise(part)
     edges = spans.withColumn("part", marked).join(vocabulary, F.col("part") == F.col("piece"), "left")
     edges = edges.where(F.col("id").isNotNull() | (F.col("size") == 1))
-    raw = F.encode(F.substring(F.col("unit"), F.col("at"), F.lit(1)), "UTF-8")
-    as_bytes = F.transform(
-        F.sequence(F.lit(1), F.octet_length(raw)),
-        lambda k: F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int") + pieces.first_byte,
-    )
     edge = F.struct(
         (F.col("at") + F.col("size") - 1).alias("end"),
         (F.col("at") - 1).alias("start"),
         F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids"),
+        F.coalesce("id", F.lit(-1)).alias("id"),
     )
     lattice = edges.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    step = "struct<score: double, start: int, ids: array<int>>"
-    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.array().cast("array<int>").alias("ids"))).cast(f"array<{step}>")
+    step = "struct<score: double, start: int, id: int>"
+    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id"))).cast(f"array<{step}>")
 
     def reach(best, e):
         score = F.get(best, e["start"])["score"] + e["score"]
-        new = F.array(F.struct(score.alias("score"), e["start"].alias("start"), e["ids"].alias("ids")))
+        new = F.array(F.struct(score.alias("score"), e["start"].alias("start"), e["id"].alias("id")))
         return (
             F.when(e["end"] == F.size(best), F.concat(best, new))
             .when(score > F.get(best, e["end"])["score"], F.concat(F.slice(best, F.lit(1), F.size(best) - 1), new))
             .otherwise(best)
         )
 
+    def spelt(start):
+        raw = F.encode(F.substring(F.col("unit"), start + 1, F.lit(1)), "UTF-8")
+        return F.transform(
+            F.sequence(F.lit(1), F.octet_length(raw)),
+            lambda k: F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10).cast("int") + pieces.first_byte,
+        )
+
     def back(state, _):
-        last = F.get(state["best"], state["at"])
-        return F.when(state["at"] > 0, F.struct(last["start"].alias("at"), F.concat(last["ids"], state["ids"]).alias("ids"), state["best"].alias("best"))).otherwise(state)
+        last = F.get(F.col("best"), state["at"])
+        own = F.when(last["id"] >= 0, F.array(last["id"])).otherwise(spelt(last["start"]))
+        return F.when(state["at"] > 0, F.struct(last["start"].alias("at"), F.concat(own, state["ids"]).alias("ids"))).otherwise(state)
 
-    end = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("ids"), F.col("best").alias("best"))
+    end = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
     return (
         lattice.select("unit", F.aggregate("edges", origin, reach).alias("best"))
         .select("unit", F.aggregate(F.sequence(F.lit(1), F.size("best")), end, back)["ids"].alias("ids"))
     )
 
 
-def encode(documents: DataFrame, model: str = MODEL, frequent: int = 400_000) -> DataFrame:
+def encode(documents: DataFrame, model: str = MODEL, frequent: int = 500_000) -> DataFrame:
     """``doc_id, n_pieces, ids, round_trip`` of every row.
 
     ``round_trip``: decoding ``ids`` gives the text back, byte for byte. Null and empty texts have no pieces.
@@ -177,11 +180,11 @@ def encode(documents: DataFrame, model: str = MODEL, frequent: int = 400_000) ->
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units that come three times or more in about 32 MB of text; the others can't be among the frequent ones of all."""
+        """Units that come twice or more in about 32 MB of text; the others are hardly frequent ones."""
         cut, counts, size = re.compile(pattern).findall, Counter(), 0
 
         def flush():
-            often = [(u, n) for u, n in counts.items() if n > 2]
+            often = [(u, n) for u, n in counts.items() if n > 1]
             return pa.RecordBatch.from_arrays([pa.array([u for u, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["unit", "n"])
 
         for batch in batches:
@@ -196,7 +199,7 @@ def encode(documents: DataFrame, model: str = MODEL, frequent: int = 400_000) ->
 
     counted = rows.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     often = stored(counted.orderBy(F.desc("n"), "unit").limit(frequent).select("unit", "n"))
-    known = stored(encode_units(often.select("unit").repartition("unit"), pieces).join(often, "unit")).toArrow()
+    known = stored(encode_units(often.select("unit").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit"), pieces).join(often, "unit")).toArrow()
     order = np.argsort(-known.column("n").to_numpy(), kind="stable")
     ids = known.column("ids").combine_chunks().take(pa.array(order))
     units = known.column("unit").combine_chunks().take(pa.array(order)).to_pylist()
@@ -273,8 +276,12 @@ def encode(documents: DataFrame, model: str = MODEL, frequent: int = 400_000) ->
             )
 
     fields = "_id long, _text_id long"
-    travelling = rows.mapInArrow(rare_units, f"{fields}, place int, unit string").repartition("unit")
-    table_ = encode_units(travelling.select("unit").distinct(), pieces)
+    # A lattice has some twenty times the bytes of its units, so there are more partitions than for a plain
+    # shuffle. Reading all columns lets both uses share it.
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    travelling = rows.mapInArrow(rare_units, f"{fields}, place int, unit string").repartition(partitions, "unit")
+    distinct = travelling.groupBy("unit").agg(F.max(F.struct("_id", "_text_id", "place")).alias("_any")).where("_any is not null")
+    table_ = encode_units(distinct.select("unit"), pieces)
     rare = travelling.join(table_, "unit").groupBy("_id", "_text_id").agg(F.collect_set(F.struct("place", "ids")).alias("rare"))
     kind = dict(documents.dtypes)["doc_id"]
     packed = rows.mapInArrow(references, f"{fields}, doc_id {kind}, packed binary, digest binary")

@@ -305,7 +305,7 @@ def test_pieces(clashing, no_documents, rows, frequent):
         assert "".join(units) == (" " + text if text else "")
         ids = [i for u in units for i in cache.setdefault(u, viterbi(u, table))]
         want[doc, len(ids), hashlib.md5(str(ids).encode()).hexdigest(), True] += 1
-    encoded = pieces.encode(clashing, frequent=frequent)
+    encoded = pieces.encode(clashing, frequent=frequent).cache()
     found = Counter((r.doc_id, r.n_pieces, hashlib.md5(str(r.ids).encode()).hexdigest(), r.round_trip) for r in encoded.collect())
     assert found == want
     assert counted(pieces.decode(encoded), "doc_id", "text") == Counter((r[0], r[1] or "") for r in rows)
