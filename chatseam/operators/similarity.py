@@ -89,27 +89,30 @@ def centroids(vectors: DataFrame, group: str, vector: str = "embedding") -> Data
     return means.groupBy(group).agg(F.transform(ordered, lambda cell: cell["_mean"]).alias(vector))
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
 def _best_in_block(
     vectors: DataFrame, block: DataFrame, key: str, target: str, vector: str, threshold: float, k: int
 ) -> DataFrame:
+    # Defined here so that it travels by value: workers need not be able to import this package.
+    def unit_rows(matrix: np.ndarray) -> np.ndarray:
+        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+        return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+
     rows = sorted(block.select(target, vector).collect())
     ids = np.array([row[0] for row in rows])
-    matrix = _unit_rows(np.array([row[1] for row in rows], dtype=np.float64)) if rows else None
+    matrix = unit_rows(np.array([row[1] for row in rows], dtype=np.float64)) if rows else None
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
     key_type = vectors.schema[key].dataType.simpleString()
     target_type = block.schema[target].dataType.simpleString()
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
-        for batch in batches:
-            if matrix is None or batch.empty:
+        # Scores of a slice of rows against all targets: 64 MB at most, whatever the number of targets.
+        step = max(1, 2**23 // max(1, len(ids)))
+        slices = (batch.iloc[at : at + step] for batch in batches for at in range(0, len(batch), step))
+        for batch in slices:
+            if matrix is None:
                 continue
-            scores = _unit_rows(np.vstack(batch[vector].to_numpy()).astype(np.float64)) @ matrix.T
+            scores = unit_rows(np.vstack(batch[vector].to_numpy()).astype(np.float64)) @ matrix.T
             # Targets are sorted by id, so a stable sort breaks ties by id.
             best = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
             kept = np.take_along_axis(scores, best, axis=1)

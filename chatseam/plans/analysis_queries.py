@@ -17,7 +17,7 @@ from chatseam.plans import sql
 from chatseam.plans import tables as T
 from chatseam.plans.ingest_queries import all_corpora
 from chatseam.plans.registry import query
-from chatseam.sources.parquet import list_parquet_files, parquet_info, read_parquet
+from chatseam.sources.parquet import parquet_info, read_parquet
 
 # English words left out of terms and topics in the registered queries.
 STOP_WORDS = (
@@ -63,11 +63,6 @@ def parquet_file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("parquet_files")
-def parquet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_parquet_files(spark, sf_dir)
-
-
 # --- distributions -------------------------------------------------------------
 
 

@@ -259,17 +259,20 @@ def metadata_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     "body_filters",
     f"""
 SELECT conv_id, turn, body FROM (
-  SELECT conv_id, turn, {sql.clean("CASE role WHEN 'system' THEN NULL WHEN 'user' THEN text ELSE chr(160) || chr(9) || substr(text, 1, turn) END")} AS body
-  FROM conversations)
+  SELECT conv_id, turn, {sql.clean("CASE role WHEN 'system' THEN NULL WHEN 'user' THEN text ELSE chr(160) || chr(9) || text END")} AS body
+  FROM conversations
+  UNION ALL SELECT conv_id, -1 - turn, {sql.clean("chr(160) || role || chr(10)")} FROM conversations)
 WHERE body <> '' AND length(body) >= 5
 """,
 )
 def body_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Null for one role, ever longer beginnings behind odd spaces for another.
+    # Null for one role, odd spaces before the texts of another; short bodies come from rows of roles alone.
     body = F.when(F.col("role") == "system", F.lit(None)).when(F.col("role") == "user", F.col("text")).otherwise(
-        F.concat(F.lit("\xa0\t"), F.substring(F.col("text"), F.lit(1), F.col("turn").cast("int")))
+        F.concat(F.lit("\xa0\t"), F.col("text"))
     )
-    turns = T.table(spark, sf_dir, "conversations").withColumn("body", body)
+    table = T.table(spark, sf_dir, "conversations")
+    roles = table.withColumns({"turn": -1 - F.col("turn"), "body": F.concat(F.lit("\xa0"), "role", F.lit("\n"))})
+    turns = table.withColumn("body", body).unionByName(roles)
     return C.clean_bodies(turns).select("conv_id", "turn", "body")
 
 
