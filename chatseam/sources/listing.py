@@ -53,19 +53,21 @@ def list_files(spark: SparkSession, directory: str, suffix: str, recursive: bool
     return sorted(found, key=lambda entry: entry.path)
 
 
-def read_first_record(spark: SparkSession, path: str, is_complete) -> str | None:
-    """Leading lines of one file until ``is_complete(text)``, for CSV headers."""
+def read_first_record(spark: SparkSession, path: str, is_complete, most_lines: int) -> str | None:
+    """Leading lines of one file until ``is_complete(text)``, for CSV headers; null after ``most_lines``."""
     fs, hadoop_path = _file_system(spark, path)
     jvm = spark._jvm
     reader = jvm.java.io.BufferedReader(
         jvm.java.io.InputStreamReader(fs.open(hadoop_path), jvm.java.nio.charset.StandardCharsets.UTF_8)
     )
     try:
-        text = None
-        while (line := reader.readLine()) is not None:
-            text = line if text is None else f"{text}\n{line}"
-            if is_complete(text):
+        text = ""
+        for _ in range(most_lines):
+            if (line := reader.readLine()) is None:
                 break
-        return text
+            text = f"{text}\n{line}" if text else line
+            if is_complete(text):
+                return text
+        return None
     finally:
         reader.close()

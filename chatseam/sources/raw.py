@@ -250,8 +250,13 @@ def _csv_row(text: str) -> list[str] | None:
     return next(csv.reader(lines), [])
 
 
+# A header row may go on over this many lines; beyond them its quotes count as not closed.
+HEADER_LINES = 50
+
+
 def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    text = read_first_record(spark, path, lambda read: _csv_row(read) is not None)
+    """The names of a file's header row; none if there is no row or its quotes don't close."""
+    text = read_first_record(spark, path, lambda read: bool(_csv_row(read)), HEADER_LINES)
     names: list[str] = []
     for position, name in enumerate((_csv_row(text) if text else None) or []):
         name = name or f"Unnamed: {position}"
@@ -267,20 +272,17 @@ def read_csv(
 
     Headers differ between files, so each distinct header is one scan. With
     ``multiline`` a quoted cell may hold line breaks and a file is one task;
-    without it files are split.
+    without it files are split. Rows with more or fewer cells than the header are
+    no records; ``csv_rejects`` lists them.
     """
     prepare(spark)
     files = list_files(spark, directory, ".csv", recursive)
     if not files:
         return empty_records(spark)
-    with ThreadPoolExecutor(16) as pool:
-        headers = list(pool.map(lambda entry: _header(spark, entry.path), files))
-    by_header: dict[tuple[str, ...], list[FileEntry]] = {}
-    for entry, header in zip(files, headers):
-        if header:
-            by_header.setdefault(header, []).append(entry)
     scans = [
-        _csv_scan(spark, directory, header, members, multiline) for header, members in by_header.items()
+        _csv_scan(spark, directory, header, members, multiline)
+        for header, members in _by_header(spark, files).items()
+        if header
     ]
     records = empty_records(spark) if not scans else scans[0]
     for scan in scans[1:]:
@@ -288,29 +290,52 @@ def read_csv(
     return records
 
 
-def _csv_scan(
+def _by_header(spark: SparkSession, files: Sequence[FileEntry]) -> dict[tuple[str, ...], list[FileEntry]]:
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(lambda entry: _header(spark, entry.path), files))
+    groups: dict[tuple[str, ...], list[FileEntry]] = {}
+    for entry, header in zip(files, headers):
+        groups.setdefault(header, []).append(entry)
+    return groups
+
+
+def _csv_rows(
     spark: SparkSession,
     directory: str,
     header: tuple[str, ...],
     files: Sequence[FileEntry],
     multiline: bool,
 ) -> DataFrame:
+    """All rows after the header, numbered; ``corrupt`` holds a row whose cells don't match the header."""
     columns = [f"c{i}" for i in range(len(header))]
     scan = spark.read.csv(
         [escape_glob(entry.path) for entry in files],
-        schema=", ".join(f"{name} string" for name in columns),
+        schema=", ".join(f"{name} string" for name in [*columns, "corrupt"]),
         header=True,
         multiLine=multiline,
         quote='"',
         escape='"',
         mode="PERMISSIVE",
+        columnNameOfCorruptRecord="corrupt",
     ).select(
         F.col("_metadata.file_name").alias("source_file"),
         _record_file(spark, directory).alias("record_file"),
         *columns,
+        "corrupt",
         *_position(),
     )
-    numbered = _number_rows(scan, _split_bound(spark, files))
+    return _number_rows(scan, _split_bound(spark, files))
+
+
+def _csv_scan(
+    spark: SparkSession,
+    directory: str,
+    header: tuple[str, ...],
+    files: Sequence[FileEntry],
+    multiline: bool,
+) -> DataFrame:
+    columns = [f"c{i}" for i in range(len(header))]
+    numbered = _csv_rows(spark, directory, header, files, multiline).where("corrupt is null")
     cells = F.map_from_arrays(
         F.array(*[F.lit(name) for name in header]), F.array(*[F.col(name).cast("variant") for name in columns])
     )
@@ -332,11 +357,20 @@ def _csv_scan(
     )
 
 
-def csv_rejects(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
-    """CSV files without a header row, that is, empty ones."""
-    files = list_files(spark, directory, ".csv", recursive)
-    empty = [(entry.path.rsplit("/", 1)[-1],) * 2 + ("no header row",) for entry in files if entry.length == 0]
-    return spark.createDataFrame(empty, REJECT_SCHEMA)
+def csv_rejects(
+    spark: SparkSession, directory: str, recursive: bool = False, multiline: bool = True
+) -> DataFrame:
+    """CSV files without a header row whose quotes close, and rows whose cells don't match the header."""
+    groups = _by_header(spark, list_files(spark, directory, ".csv", recursive))
+    without = [(entry.path.rsplit("/", 1)[-1],) * 2 + ("no header row",) for entry in groups.get((), [])]
+    rejects = spark.createDataFrame(without, REJECT_SCHEMA)
+    for header, members in groups.items():
+        if header:
+            rows = _csv_rows(spark, directory, header, members, multiline).where("corrupt is not null")
+            first = F.concat(F.lit(" ("), F.coalesce("c0", F.lit("")), F.lit(")"))
+            reason = F.concat(F.lit("row "), F.col("ordinal"), first, F.lit(f" does not have {len(header)} cells"))
+            rejects = rejects.unionByName(rows.select("source_file", "record_file", reason.alias("reason")))
+    return rejects
 
 
 # --- a whole corpus ------------------------------------------------------------

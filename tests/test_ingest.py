@@ -318,6 +318,22 @@ def test_csv_headers_differ(spark, tmp_path):
     assert [r.source_file for r in raw.csv_rejects(spark, str(tmp_path)).collect()] == ["c.csv"]
 
 
+def test_csv_rows_that_do_not_fit_are_rejected_whole(spark, tmp_path):
+    write(tmp_path, "a.csv", "id,text\n1,fits\n2,has a stray, comma\n3\n4,\"fits, too\"\n")
+    write(tmp_path, "b.csv", 'id,te"xt\n' + "5,five\n" * 200)
+    write(tmp_path, "c.csv", "\n\n\n")
+    write(tmp_path, "d.csv", "\n\nid,text\n6,after blank lines\n")
+    got = loaded(raw.read_csv(spark, str(tmp_path)))
+    assert [rec for _, _, rec in got] == [
+        {"id": "1", "text": "fits"}, {"id": "4", "text": "fits, too"}, {"id": "6", "text": "after blank lines"},
+    ]
+    rejects = sorted((r.source_file, r.reason) for r in raw.csv_rejects(spark, str(tmp_path)).collect())
+    assert rejects == [
+        ("a.csv", "row 1 (2) does not have 2 cells"), ("a.csv", "row 2 (3) does not have 2 cells"),
+        ("b.csv", "no header row"), ("c.csv", "no header row"),
+    ]
+
+
 def test_exploration_scan_is_recursive_and_prefers_json(spark, tmp_path):
     write(tmp_path / "x", "a.json", [{"n": 1}])
     write(tmp_path / "y", "a.json", {"messages": [{"n": 2}]})
