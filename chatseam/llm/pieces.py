@@ -279,7 +279,7 @@ def encode(documents: DataFrame, model: str = MODEL, frequent: int = 500_000) ->
     # A lattice has some twenty times the bytes of its units, so there are more partitions than for a plain
     # shuffle. Reading all columns lets both uses share it.
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    travelling = rows.mapInArrow(rare_units, f"{fields}, place int, unit string").repartition(partitions, "unit")
+    travelling = rows.mapInArrow(rare_units, f"{fields}, place int, unit string").where("unit is not null and _id is not null and _text_id is not null").repartition(partitions, "unit")
     distinct = travelling.groupBy("unit").agg(F.max(F.struct("_id", "_text_id", "place")).alias("_any")).where("_any is not null")
     table_ = encode_units(distinct.select("unit"), pieces)
     rare = travelling.join(table_, "unit").groupBy("_id", "_text_id").agg(F.collect_set(F.struct("place", "ids")).alias("rare"))
