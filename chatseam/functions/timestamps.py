@@ -8,23 +8,36 @@ from pyspark.sql import functions as F
 # Above this a numeric time counts milliseconds, at or below it seconds.
 MILLISECOND_THRESHOLD = 1e10
 
-# Shape of the text -> pattern. A pattern is tried only on text of its shape,
-# because a failing parse costs far more than the test. Month comes first where
-# day and month are both numbers; dots put the day first.
-_CLOCK = r"( \d{1,2}:\d{2}(:\d{2})?)?$"
+# Sixteen digits and more count microseconds.
+MICROSECOND_THRESHOLD = 1e14
+
+# Shape of the text -> patterns, the first that fits. They are tried only on text of
+# their shape, because a failing parse costs far more than the test. Where day and month
+# are both numbers the month comes first, unless that cannot be (14/02/2022); dots put
+# the day first.
+_TIME = r" \d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
+_CLOCK = rf"({_TIME})?$"
+_READ_CLOCK = "[ H:mm[:ss[.SSSSSSSSS]]]"
 _SHAPES = (
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}" + _CLOCK, "y/M/d[ H:mm[:ss]]"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}" + _CLOCK, "M/d/y[ H:mm[:ss]]"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}" + _CLOCK, "d.M.y[ H:mm[:ss]]"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2}( [+-]\d{4})?$", "d MMM y H:mm:ss[ xx]"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, y"),
+    (r"^\d{8}$", ("yyyyMMdd",)),
+    (r"^\d{8}T\d{6}(Z|[+-]\d{4})?$", ("yyyyMMdd'T'HHmmss[XX]",)),
+    (r"^\d{4}/\d{1,2}/\d{1,2}" + _CLOCK, ("y/M/d" + _READ_CLOCK,)),
+    (r"^\d{1,2}/\d{1,2}/\d{4}" + _CLOCK, ("M/d/y" + _READ_CLOCK, "d/M/y" + _READ_CLOCK)),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]$", ("M/d/y h:mm[:ss] a", "d/M/y h:mm[:ss] a")),
+    (r"^\d{1,2}-\d{1,2}-\d{4}" + _CLOCK, ("M-d-y" + _READ_CLOCK, "d-M-y" + _READ_CLOCK)),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}" + _CLOCK, ("d.M.y" + _READ_CLOCK,)),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2} [+-]\d{4}$", ("d MMM y H:mm:ss xx",)),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}" + _CLOCK, ("d MMM y" + _READ_CLOCK,)),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}" + _CLOCK, ("d MMMM y" + _READ_CLOCK,)),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}" + _CLOCK, ("MMM d, y" + _READ_CLOCK,)),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}" + _CLOCK, ("MMMM d, y" + _READ_CLOCK,)),
+    (r"^[A-Za-z]{3} \d{1,2} \d{1,2}:\d{2}:\d{2} \d{4}$", ("MMM d H:mm:ss y",)),
 )
 _ISO_SHAPE = r"^\d{4}(-\d|$)"
 _NUMBER_SHAPE = r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"
 # A bare year or a compact date is a calendar value, not an epoch.
 _CALENDAR_SHAPE = r"^(\d{4}|(19|20)\d{6})$"
-_WEEKDAY = r"^[A-Za-z]{3}, "
+_WEEKDAY = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? +"
 _UTC_NAME = r" (GMT|UTC|Z)$"
 
 
@@ -35,14 +48,15 @@ def parse_text_timestamp(text: Column) -> Column:
     # The usual case is decided by one test and one cast.
     parsed = F.when(is_iso, F.coalesce(text.try_cast("timestamp"), _spaced_offset(text).try_cast("timestamp")))
     other = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), _UTC_NAME, " +0000")
-    for shape, pattern in _SHAPES:
-        parsed = parsed.when(other.rlike(shape), F.try_to_timestamp(other, F.lit(pattern)))
+    for shape, patterns in _SHAPES:
+        parsed = parsed.when(other.rlike(shape), F.coalesce(*(F.try_to_timestamp(other, F.lit(p)) for p in patterns)))
     return parsed
 
 
 def _spaced_offset(text: Column) -> Column:
-    """``... +0300`` as ``...+03:00``."""
-    return F.regexp_replace(text, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2")
+    """``... +0300`` as ``...+03:00``, and seconds where a time with an offset has none."""
+    spaced = F.regexp_replace(text, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2")
+    return F.regexp_replace(spaced, r"([T ]\d{1,2}:\d{2})(Z|[+-]\d{2}:\d{2})$", "$1:00$2")
 
 
 def from_epoch(number: Column, is_millis: Column) -> Column:
@@ -58,6 +72,7 @@ def parse_timestamp(text: Column) -> Column:
     trimmed = F.trim(text)
     number = trimmed.try_cast("double")
     is_epoch = trimmed.rlike(_NUMBER_SHAPE) & ~trimmed.rlike(_CALENDAR_SHAPE)
-    return F.when(is_epoch, from_epoch(number, number > MILLISECOND_THRESHOLD)).otherwise(
-        parse_text_timestamp(text)
-    )
+    micros = number > MICROSECOND_THRESHOLD
+    return F.when(
+        is_epoch, from_epoch(F.when(micros, number / 1000).otherwise(number), number > MILLISECOND_THRESHOLD)
+    ).otherwise(parse_text_timestamp(text))

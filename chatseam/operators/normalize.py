@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatseam.functions.once import with_computed
@@ -19,8 +19,8 @@ from chatseam.specs import CANONICAL_FIELDS, CorpusSpec
 POSITION = ("format_rank", "record_file", "ordinal")
 RESERVED = (*CANONICAL_FIELDS, "language", "source_file", "_source_file")
 
-# Up to this many files the per-file facts are broadcast; beyond, they are joined by a shuffle.
-MAX_BROADCAST_FILES = 200_000
+# Records of one file that meet its facts under one key: a large file is many keys.
+STRETCH = 100_000
 
 
 def field_value(name: str) -> Column:
@@ -73,12 +73,17 @@ def _file_number(time_text: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def _stretch() -> Column:
+    return F.coalesce(F.floor(F.col("ordinal") / STRETCH), F.lit(0)).alias("_stretch")
+
+
 def _file_facts(records: DataFrame, spec: CorpusSpec) -> DataFrame:
     """Per file: does it have ``type`` at all, and is its median numeric time in milliseconds.
 
     Whether a median lies above a threshold follows from how many values lie on
     either side of it, plus the two values next to it when the sides are equal.
-    So the facts combine map-side, whatever the size of a file.
+    So the facts combine map-side, whatever the size of a file. Each stretch of
+    a file gets a row of its own with the facts of the whole file.
     """
     number = F.col("_number")
     typed = F.col("_is_event") if spec.event_type else F.lit(True)
@@ -95,20 +100,36 @@ def _file_facts(records: DataFrame, spec: CorpusSpec) -> DataFrame:
     facts = (
         records.select(
             "record_file",
+            _stretch(),
             _file_number(_first_text(_names("timestamp", spec))).alias("_number"),
             F.map_contains_key("rec", F.lit("type")).alias("_has_type"),
             F.coalesce(field_text("type") == (spec.event_type or ""), F.lit(False)).alias("_is_event"),
         )
-        .groupBy("record_file")
+        .groupBy("record_file", "_stretch")
         .agg(
-            F.bool_or("_has_type").alias("_file_has_type"),
+            F.bool_or("_has_type").alias("_has_type"),
             median_inputs(F.lit(True)).alias("_all"),
             median_inputs(typed).alias("_typed"),
         )
     )
+    file = Window.partitionBy("record_file")
+
+    def whole_file(part: str) -> Column:
+        return F.struct(
+            F.sum(f"{part}.above").over(file).alias("above"),
+            F.sum(f"{part}.below").over(file).alias("below"),
+            F.max(f"{part}.nearest_below").over(file).alias("nearest_below"),
+            F.min(f"{part}.nearest_above").over(file).alias("nearest_above"),
+        )
+
+    has_type = F.bool_or("_has_type").over(file)
+    facts = facts.select(
+        "record_file", "_stretch", has_type.alias("_file_has_type"), whole_file("_all").alias("_all"), whole_file("_typed").alias("_typed")
+    )
     inputs = F.when(F.col("_file_has_type"), F.col("_typed")).otherwise(F.col("_all"))
-    return facts.select("record_file", "_file_has_type", inputs.alias("_m")).select(
+    return facts.select("record_file", "_stretch", "_file_has_type", inputs.alias("_m")).select(
         "record_file",
+        "_stretch",
         "_file_has_type",
         (F.col("_m.above") + F.col("_m.below") > 0).alias("_file_numeric"),
         F.when(
@@ -143,19 +164,16 @@ def _extras(consumed: Column, spec: CorpusSpec) -> Column:
     return F.map_concat(copied, extras)
 
 
-def flag_events(records: DataFrame, spec: CorpusSpec, file_count: int | None = None) -> DataFrame:
+def flag_events(records: DataFrame, spec: CorpusSpec) -> DataFrame:
     """Add the per-file facts the spec needs and ``_kept``, the event filter's verdict.
 
-    ``file_count``, if known, bounds the per-file table and so lets it be
-    broadcast. Corpora without per-file rules need no such table and stay one
-    narrow stage.
+    Records meet the facts by file and stretch of the file, so a large file is no
+    hot key. Corpora without per-file rules need no facts and stay one narrow stage.
     """
     kept = F.lit(True)
     if spec.event_type is not None or spec.epoch_rule == "file_median":
         facts = _file_facts(records, spec)
-        if file_count is not None and file_count <= MAX_BROADCAST_FILES:
-            facts = F.broadcast(facts)
-        records = records.join(facts, "record_file")
+        records = records.withColumn("_stretch", _stretch()).join(facts, ["record_file", "_stretch"]).drop("_stretch")
     if spec.event_type is not None:
         is_event = F.coalesce(field_text("type") == spec.event_type, F.lit(False))
         kept = ~F.col("_file_has_type") | is_event
@@ -165,9 +183,9 @@ def flag_events(records: DataFrame, spec: CorpusSpec, file_count: int | None = N
     return records.withColumn("_kept", kept)
 
 
-def normalize(records: DataFrame, spec: CorpusSpec, file_count: int | None = None) -> DataFrame:
+def normalize(records: DataFrame, spec: CorpusSpec) -> DataFrame:
     """Canonical fields of every raw record that passes the corpus's event filter."""
-    records = flag_events(records, spec, file_count).where("_kept")
+    records = flag_events(records, spec).where("_kept")
     picked = with_computed(
         records,
         {

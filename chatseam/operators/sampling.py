@@ -26,35 +26,26 @@ def capped_sample(
 
     The draw depends on ``(seed, key)`` only, so it survives repartitioning.
     Ranking whole groups would sort a hot group in one task. Instead a count
-    per hash prefix finds, for each group, the prefix in which the cap falls:
-    smaller prefixes are kept without any ranking, larger ones dropped, and
-    only the rows of that single prefix (one in 65,536 of the group) are ranked.
-
-    ``groups`` keeps the listed groups only. The table of cut-off prefixes then
-    has at most as many rows as the list, and is broadcast; without the list
-    its size is unknown and the planner chooses the join.
+    per hash prefix tells how much room the smaller prefixes leave in the cap.
+    Rows meet that table by group and prefix, so a group of any size is split
+    into up to 65,536 keys: prefixes without room go unseen, and rows are ranked
+    within their prefix only. ``groups`` keeps the listed groups only.
     """
     if groups is not None:
         rows = rows.where(F.col(group).isin(*groups))
     drawn = rows.withColumn("_draw", _draw(seed, key)).withColumn("_prefix", F.substring("_draw", 1, _PREFIX))
     per_prefix = drawn.groupBy(group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     up_to = F.sum("_n").over(Window.partitionBy(group).orderBy("_prefix"))
-    boundary = (
-        per_prefix.withColumn("_up_to", up_to)
-        # The prefix that reaches the cap; a group below the cap has none.
-        .where((F.col("_up_to") >= cap) & (F.col("_up_to") - F.col("_n") < cap))
-        .select(
-            F.col(group).alias("_group"),
-            F.col("_prefix").alias("_last_prefix"),
-            (F.lit(cap) - (F.col("_up_to") - F.col("_n"))).alias("_room"),
-        )
+    limits = (
+        per_prefix.withColumn("_room", F.lit(cap) - (up_to - F.col("_n")))
+        .where("_room > 0")
+        .select(F.col(group).alias("_group"), F.col("_prefix").alias("_key"), "_room")
+    )
+    same = drawn[group].eqNullSafe(limits["_group"]) & (drawn["_prefix"] == limits["_key"])
+    place = F.row_number().over(Window.partitionBy(group, "_prefix").orderBy("_draw", key))
+    return (
+        drawn.join(limits, same)
+        .withColumn("_place", place)
+        .where("_place <= _room")
+        .drop("_draw", "_prefix", "_group", "_key", "_room", "_place")
     )
-    if groups is not None:
-        boundary = F.broadcast(boundary)
-    marked = drawn.join(boundary, drawn[group].eqNullSafe(boundary["_group"]), "left").drop("_group")
-    whole = marked.where("_last_prefix IS NULL OR _prefix < _last_prefix")
-    last = marked.where("_prefix = _last_prefix")
-    place = F.row_number().over(Window.partitionBy(group).orderBy("_draw", key))
-    partial = last.withColumn("_place", place).where("_place <= _room").drop("_place")
-    extra = ("_draw", "_prefix", "_last_prefix", "_room")
-    return whole.drop(*extra).unionByName(partial.drop(*extra))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from chatseam.functions.text import tokens, with_bigrams
 
+# Parts into which the rows of one term are split.
+SALTS = 64
+
 
 def terms(text: Column, stop_words: Iterable[str] = (), bigrams: bool = True) -> Column:
     """Words and, with ``bigrams``, pairs of neighbours after stop words are gone."""
@@ -54,12 +57,19 @@ def vocabulary_counts(
     stop_words: Iterable[str] = (),
     bigrams: bool = True,
 ) -> DataFrame:
-    """Term counts restricted to terms found in at least ``min_df`` documents."""
+    """Term counts restricted to terms found in at least ``min_df`` documents.
+
+    A term of every document has as many rows as there are documents. So terms are counted and
+    joined in ``SALTS`` parts of the documents; only the parts' totals meet per term.
+    """
     counts = term_counts(documents, key, text, stop_words, bigrams)
+    counts = counts.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
     # Reading n here too keeps both uses of the counts alike, so that the planner
     # shuffles them once.
-    vocabulary = counts.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("_df")).where(F.col("_df") >= min_df)
-    return counts.join(vocabulary.select("term"), "term").select(key, "term", "n")
+    parts = counts.groupBy("term", "_salt").agg(F.count_if(F.col("n") > 0).alias("_df"))
+    everywhere = F.sum("_df").over(Window.partitionBy("term"))
+    vocabulary = parts.withColumn("_all", everywhere).where(F.col("_all") >= min_df)
+    return counts.join(vocabulary.select("term", "_salt"), ["term", "_salt"]).select(key, "term", "n")
 
 
 def class_term_weights(

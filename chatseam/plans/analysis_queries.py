@@ -40,7 +40,10 @@ def parquet_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang"])
 
 
-_INFO_TABLES = ("conversations", "documents", "embeddings", "events", "labels")
+_INFO_TABLES = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation",
+    "orders", "pages", "part", "region", "supplier",
+)
 
 
 @query(
@@ -396,21 +399,37 @@ _TARGETS = f"""
 WITH c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i
            FROM embeddings) GROUP BY label, i),
      t AS (SELECT label AS technique, list(m ORDER BY i) AS target FROM c GROUP BY label),
-     s AS (SELECT vec_id, technique, {_cosine_sql("embedding", "target")} AS score FROM embeddings, t),
+     v AS ({{vectors}}),
+     s AS (SELECT vec_id, technique, {_cosine_sql("embedding", "target")} AS score FROM v, t),
      r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 12) DESC, technique) AS rank FROM s WHERE score >= {{threshold}})
 """
 
 
-def _techniques(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
+_GIVEN = "SELECT vec_id, embedding FROM embeddings"
+# Vectors drawn towards the mean of their label, by more or less, so that high thresholds have matches.
+_PULL = 4
+_DRAWN = f"""
+SELECT vec_id, list_transform(list_zip(embedding, target), lambda p: p[1]::DOUBLE + {_PULL} * (vec_id % 4) * p[2]) AS embedding
+FROM embeddings JOIN t ON t.technique = label
+"""
+
+
+def _techniques(spark: SparkSession, sf_dir: str, threshold: float, drawn: bool = False) -> DataFrame:
     vectors = T.table(spark, sf_dir, "embeddings")
     targets = V.centroids(vectors.withColumnRenamed("label", "technique"), "technique")
+    if drawn:
+        mean = targets.select(F.col("technique").alias("label"), F.col("embedding").alias("mean"))
+        pulled = F.zip_with(
+            "embedding", "mean", lambda x, m: x.cast("double") + _PULL * (F.col("vec_id") % 4) * m
+        )
+        vectors = vectors.join(mean, "label").select("vec_id", pulled.alias("embedding"))
     found = V.nearest_targets(vectors, targets, "vec_id", "technique", threshold=threshold)
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
     "technique_matches",
-    _TARGETS.format(threshold=0.3) + "SELECT vec_id, technique, round(score, 6) AS score, rank FROM r WHERE rank <= 3",
+    _TARGETS.format(threshold=0.3, vectors=_GIVEN) + "SELECT vec_id, technique, round(score, 6) AS score, rank FROM r WHERE rank <= 3",
 )
 def technique_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The given vectors lie further apart than encoded sentences, hence the lower threshold.
@@ -419,19 +438,19 @@ def technique_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "technique_matches_strict",
-    _TARGETS.format(threshold=0.65) + "SELECT vec_id, technique, round(score, 6) AS score, rank FROM r WHERE rank <= 3",
+    _TARGETS.format(threshold=0.65, vectors=_DRAWN) + "SELECT vec_id, technique, round(score, 6) AS score, rank FROM r WHERE rank <= 3",
 )
 def technique_matches_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_techniques(spark, sf_dir, V.SIMILARITY_THRESHOLD), "score")
+    return _rounded(_techniques(spark, sf_dir, V.SIMILARITY_THRESHOLD, drawn=True), "score")
 
 
 @query(
     "confident_entities",
-    _TARGETS.format(threshold=0.3)
+    _TARGETS.format(threshold=0.3, vectors=_DRAWN)
     + "SELECT vec_id, technique, round(score, 6) AS score FROM r WHERE rank <= 3 AND score >= 0.7",
 )
 def confident_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = V.filter_confident(_techniques(spark, sf_dir, 0.3))
+    entities = V.filter_confident(_techniques(spark, sf_dir, 0.3, drawn=True))
     return _rounded(entities, "score").select("vec_id", "technique", "score")
 
 
@@ -465,10 +484,10 @@ def _sql_pattern(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _indicator_sql(patterns: dict[str, str]) -> str:
+def _indicator_sql(patterns: dict[str, str], table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     return " UNION ALL ".join(
-        f"SELECT doc_id, '{kind}' AS kind, unnest(found) AS value, generate_subscripts(found, 1)::BIGINT AS start_no"
-        f" FROM (SELECT doc_id, regexp_extract_all(text, {_sql_pattern(pattern)}) AS found FROM documents)"
+        f"SELECT {key}, '{kind}' AS kind, unnest(found) AS value, generate_subscripts(found, 1)::BIGINT AS start_no"
+        f" FROM (SELECT {key}, regexp_extract_all({text}, {_sql_pattern(pattern)}) AS found FROM {table})"
         for kind, pattern in patterns.items()
     )
 
@@ -490,17 +509,31 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("start_no", F.col("start_no").cast("bigint"))
 
 
-@query(
-    "page_urls",
-    f"""
-SELECT page_id, 'url' AS kind, unnest(found) AS value, generate_subscripts(found, 1)::BIGINT AS start_no
-FROM (SELECT page_id, regexp_extract_all(url, {_sql_pattern(I.PATTERNS["url"])}) AS found FROM pages)
-""",
-)
+@query("page_urls", _indicator_sql(I.PATTERNS, "pages", "page_id", "url || ' ' || html"))
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = I.extract_indicators(
-        T.table(spark, sf_dir, "pages"), key="page_id", text="url", patterns={"url": I.PATTERNS["url"]}
+    pages = T.table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit(" "), "html").alias("text"))
+    found = I.extract_indicators(pages, key="page_id", text="text")
+    return found.withColumn("start_no", F.col("start_no").cast("bigint"))
+
+
+# The given texts hold no wallet addresses and no advisories, so each gets some made from its id.
+_BUILT = """
+SELECT doc_id, text || ' pay bc1q' || md5(doc_id::VARCHAR) || ' or 0x' || md5(doc_id::VARCHAR) || substr(md5('x' || doc_id), 1, 8)
+  || ', see cve-2021-' || lpad((doc_id % 100000)::VARCHAR, 5, '0') || ' at https://a' || doc_id || '.example/x?y=1 .' AS text
+FROM documents
+"""
+
+
+@query("built_indicators", _indicator_sql(I.PATTERNS, f"({_BUILT})"))
+def built_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("doc_id").cast("string")
+    built = F.concat(
+        "text", F.lit(" pay bc1q"), F.md5(number), F.lit(" or 0x"), F.md5(number),
+        F.substring(F.md5(F.concat(F.lit("x"), number)), 1, 8), F.lit(", see cve-2021-"),
+        F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"), F.lit(" at https://a"), number, F.lit(".example/x?y=1 ."),
     )
+    documents = T.table(spark, sf_dir, "documents").select("doc_id", built.alias("text"))
+    found = I.extract_indicators(documents, key="doc_id", text="text")
     return found.withColumn("start_no", F.col("start_no").cast("bigint"))
 
 

@@ -41,11 +41,10 @@ def canonical_messages(
     records: DataFrame,
     spec: CorpusSpec,
     settings: IngestSettings = IngestSettings(),
-    file_count: int | None = None,
 ) -> DataFrame:
     """Raw records to canonical rows plus ``errors``: normalise, clean, label, validate. Lazy."""
     return (
-        normalize(records, spec, file_count)
+        normalize(records, spec)
         .transform(clean, spec, settings)
         .transform(fill_language)
         .transform(to_canonical, spec.name)
@@ -75,8 +74,7 @@ def run_corpus(
     they stay right when executors were lost on the way.
     """
     prepare(spark)
-    file_count = None if spec.load else _count_files(spark, spec, root)
-    if file_count == 0:
+    if not spec.load and _count_files(spark, spec, root) == 0:
         log.warning("no input files for corpus %s in %s", spec.name, raw_location(spec, root))
         return RunResult(spec.name)
     records = read_corpus_raw(spark, spec, root)
@@ -84,14 +82,14 @@ def run_corpus(
         log.warning("no records for corpus %s", spec.name)
         return RunResult(spec.name)
 
-    checked = canonical_messages(records, spec, settings, file_count)
+    checked = canonical_messages(records, spec, settings)
     path = ""
     if not dry_run:
         if output_dir is None:
             raise ValueError("output_dir is needed unless dry_run is set")
         path = write_corpus(checked, output_dir, spec.name)
         checked = read_status(spark, corpus_path(output_dir, spec.name))
-    counts = run_summary(spec.name, flag_events(records, spec, file_count), checked).first()
+    counts = run_summary(spec.name, flag_events(records, spec), checked).first()
     return RunResult(
         corpus=spec.name,
         records_raw=counts["records_raw"],

@@ -78,6 +78,12 @@ def test_timestamps(spark):
         "Mon, 14 Feb 2022 12:00:00 GMT": noon, "14 Feb 2022 15:00:00 +0300": noon,
         "1644840000": noon, "1644840000000": noon, "1.644840000e9": noon,
         "20220214": dt.datetime(2022, 2, 14), "2022": dt.datetime(2022, 1, 1), "Feb 14, 2022": dt.datetime(2022, 2, 14),
+        "02/14/2022 12:00 PM": noon, "2022/02/14 12:00:00.000": noon, "14 February 2022 12:00": noon,
+        "February 14, 2022 12:00": noon, "14 Feb 2022": dt.datetime(2022, 2, 14), "Mon Feb 14 12:00:00 2022": noon,
+        "2022-02-14T12:00Z": noon, "2022-02-14 15:00 +0300": noon, "20220214T120000Z": noon, "14/02/2022 12:00": noon,
+        "02-03-2022 12:00": dt.datetime(2022, 2, 3, 12), "1644840000000000": noon,
+        "2022/02/14 12:00:00.25": noon.replace(microsecond=250_000),
+        "32/02/2022 12:00": None, "30 February 2022": None,
         "2022-02-30": None, "12:00": None, "soon": None, "": None, "99999999999999999999": None, "NaN": None,
     }
     assert apply(spark, cases, timestamps.parse_timestamp) == list(cases.values())

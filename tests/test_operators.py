@@ -64,6 +64,18 @@ def test_capped_sample_is_exact_and_repeatable(spark, groups):
         assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_hot_term_is_split_without_broadcast(spark):
+    rows = [(f"m{i}", "everywhere " + ("often" if i % 3 else "once%d" % i)) for i in range(600)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = terms.vocabulary_counts(frame(spark, rows, "id string, raw_text string"), "id", min_df=5, bigrams=False)
+        assert kept.groupBy("term").count().orderBy("term").collect() == [("everywhere", 600), ("often", 400)]
+        joined = next(line for line in kept._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line)
+        assert "_salt" in joined
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # --- distributions ---------------------------------------------------------------
 
 
