@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatseam.functions.text import tokens
 from chatseam.operators import actors as A
 from chatseam.operators import clean as C
 from chatseam.operators import explore as E
@@ -472,6 +474,73 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.cluster(reduced, vector="reduced", k=10, min_cluster_size=30).select("vec_id", "topic")
 
 
+# What has no SQL equivalent still has facts that must hold, whatever the fit finds.
+
+
+@query(
+    "hashed_tfidf_facts",
+    f"""
+SELECT count(*) AS documents, count(*) FILTER (n > 0) AS unit_length, count(*) FILTER (n = 0) AS empty, 0::BIGINT AS over_full
+FROM (SELECT len({sql.tokens("text", STOP_WORDS)}) AS n FROM documents)
+""",
+)
+def hashed_tfidf_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = V.hashed_tfidf(T.document_messages(spark, sf_dir), stop_words=STOP_WORDS)
+    measured = encoded.select(
+        F.filter(vector_to_array("features"), lambda x: x != 0).alias("values"), F.size(tokens(F.col("raw_text"), STOP_WORDS)).alias("n")
+    ).select("n", F.size("values").alias("filled"), F.aggregate("values", F.lit(0.0), lambda total, x: total + x * x).alias("length"))
+    return measured.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(F.abs(F.col("length") - 1) < 1e-9).alias("unit_length"),
+        F.count_if(F.col("length") == 0).alias("empty"),
+        F.count_if(F.col("filled") > F.col("n")).alias("over_full"),
+    )
+
+
+@query(
+    "reduced_vector_facts",
+    """
+SELECT i AS component, count(embedding) AS vectors, true AS falling, true AS uncorrelated
+FROM (SELECT unnest(range(1, 6)) AS i) CROSS JOIN embeddings GROUP BY i
+""",
+)
+def reduced_vector_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reduced = V.reduce_dimensions(T.table(spark, sf_dir, "embeddings"), k=5)
+    values = [F.get("reduced", F.lit(i)) for i in range(5)]
+    moments = reduced.agg(
+        F.count(F.lit(1)).alias("vectors"),
+        *(F.covar_pop(values[i], values[j]).alias(f"c{i}{j}") for i in range(5) for j in range(i, 5)),
+    )
+    rows = [
+        F.struct(
+            F.lit(i + 1).cast("bigint").alias("component"),
+            "vectors",
+            (F.col(f"c{i}{i}") <= F.col(f"c{max(i - 1, 0)}{max(i - 1, 0)}")).alias("falling"),
+            (F.greatest(F.lit(0.0), *(F.abs(f"c{min(i, j)}{max(i, j)}") for j in range(5) if j != i)) < 1e-9).alias("uncorrelated"),
+        )
+        for i in range(5)
+    ]
+    return moments.select(F.inline(F.array(*rows)))
+
+
+@query(
+    "cluster_facts",
+    """
+SELECT count(*) AS vectors, 0::BIGINT AS repeated, 0::BIGINT AS under_size, 0::BIGINT AS unknown_topics FROM embeddings
+""",
+)
+def cluster_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topics = clusters(spark, sf_dir)
+    per_vector = topics.groupBy("vec_id", "topic").agg(F.count(F.lit(1)).alias("n"))
+    per_topic = per_vector.groupBy("topic").agg(F.sum("n").alias("size"), F.sum(F.col("n") - 1).alias("repeated"))
+    return per_topic.agg(
+        F.sum("size").alias("vectors"),
+        F.sum("repeated").alias("repeated"),
+        F.count_if((F.col("topic") >= 0) & (F.col("size") < 30)).alias("under_size"),
+        F.count_if(~F.col("topic").between(-1, 9)).alias("unknown_topics"),
+    )
+
+
 # --- indicators ------------------------------------------------------------------------
 
 # Invented words of the given prose stand in for tool names.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -38,6 +39,36 @@ def escape_glob(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
+def replace_directory(spark: SparkSession, new: str, path: str) -> None:
+    """Put a finished directory in the place of another; the old one goes last.
+
+    If this dies halfway, one of both is complete beside ``path``, in a hidden directory.
+    """
+    fs, target = _file_system(spark, path)
+    _, source = _file_system(spark, new)
+    _, aside = _file_system(spark, hidden_beside(path))
+    replaced = fs.exists(target)
+    if replaced and not fs.rename(target, aside):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(source, target):
+        if replaced:
+            fs.rename(aside, target)
+        raise OSError(f"{new} could not be renamed to {path}")
+    if replaced:
+        fs.delete(aside, True)
+
+
+def remove_directory(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _file_system(spark, path)
+    fs.delete(hadoop_path, True)
+
+
+def hidden_beside(path: str) -> str:
+    """A new name in the same folder that readers of the folder leave out."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return f"{folder}/_{name.replace('=', '-')}-{uuid.uuid4().hex}" if folder else f"_{name}-{uuid.uuid4().hex}"
+
+
 def list_files(spark: SparkSession, directory: str, suffix: str, recursive: bool = False) -> list[FileEntry]:
     """Files whose name ends with ``suffix``, sorted by path; empty if there is no such directory."""
     if not directory_exists(spark, directory):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatseam.schema import CANONICAL_COLUMNS, CANONICAL_SCHEMA
-from chatseam.sources.listing import directory_exists, path_exists
+from chatseam.sources.listing import directory_exists, hidden_beside, path_exists, remove_directory, replace_directory
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -50,13 +50,24 @@ def write_parquet(
     overwrite: bool = True,
     partition_by: Sequence[str] = (),
 ) -> str:
-    """Write a directory of Parquet files; without ``overwrite`` an existing path is an error."""
-    if not overwrite and path_exists(data.sparkSession, path):
+    """Write a directory of Parquet files; without ``overwrite`` an existing path is an error.
+
+    The files are written beside the path and take its place when they are complete, so
+    what was there before survives a run that fails.
+    """
+    spark = data.sparkSession
+    if not overwrite and path_exists(spark, path):
         raise FileExistsError(f"{path} exists and overwrite is off")
-    writer = data.write.mode("overwrite").option("compression", compression)
+    writer = data.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    new = hidden_beside(path)
+    try:
+        writer.parquet(new)
+    except Exception:
+        remove_directory(spark, new)
+        raise
+    replace_directory(spark, new, path)
     return path
 
 

@@ -389,3 +389,15 @@ def test_flags(spark):
     assert {r.in_range for r in clean.flag_date_range(data, None).collect()} == {None}
     expected = clean.flag_expected_language(data, ("en", "ru"))
     assert {r.language: r.expected_language for r in expected.collect()} == {"en": True, "ru": True, "de": False}
+
+
+def test_a_failed_write_keeps_what_was_there(spark, tmp_path):
+    path = str(tmp_path / "table")
+    parquet.write_parquet(spark.range(3), path)
+    with pytest.raises(Exception):
+        parquet.write_parquet(spark.range(5).select(F.raise_error(F.lit("stop")).cast("bigint").alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+    # A table may be rewritten from itself.
+    parquet.write_parquet(spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2
+    assert [entry.name for entry in tmp_path.iterdir()] == ["table"]
