@@ -25,7 +25,9 @@ SYMBOLS = b"#*$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 # Measures: how far beyond the middle half, in its widths, and how much further still, a document may lie.
-MEASURES = {"symbols": (6.0, 0.1), "dup_lines": (6.0, 0.5), "repeats": (6.0, 0.3), "word_length": (6.0, 1.0)}
+# Widths are twice those of Tukey's outer fence (3). Where the middle half is one value the slack decides alone:
+# for shares of lines and words it is two thirds of the base rule's 30 %, so that their fences can reject too.
+MEASURES = {"symbols": (6.0, 0.1), "dup_lines": (6.0, 0.2), "repeats": (6.0, 0.2), "word_length": (6.0, 1.0)}
 TWO_SIDED = ("word_length",)
 
 

@@ -77,6 +77,28 @@ def test_quality_filter(spark, clashing, no_documents):
     assert {r.doc_id for r in quality.filter_quality(frame).collect()} == set(range(300))
 
 
+def test_each_quality_fence_rejects_alone(spark):
+    def own(k, n):
+        return [f"word{(k * 31 + j * 7) % 997:03d}" for j in range(n)]
+
+    rows = [(k, " ".join(own(k, 60)), "en", "web") for k in range(200)]
+    lines = [" ".join(own(5, 60)[j : j + 5]) for j in range(0, 60, 5)]
+    bad = {
+        "symbols": " ".join(own(1, 50) + ["wor$#*%"] * 3 + own(2, 7)),
+        "dup_lines": "\n".join(lines[:9] + lines[0:6:2]),
+        "repeats": " ".join(own(3, 13) + own(4, 74)[13:] + own(3, 13) + own(9, 13)),
+        "word_length": " ".join(word + "longer" for word in own(6, 60)),
+    }
+    rows += [(1000 + k, text, "en", "web") for k, text in enumerate(bad.values())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in quality.judge(quality.stored(quality.with_features(frame))).collect()}
+    for k, name in enumerate(bad):
+        row = found[1000 + k]
+        outside = [m for m in bad if not row._bounds[f"_low_{m}"] <= row._measures[m] <= row._bounds[f"_high_{m}"]]
+        assert (row._base_failed, row._kept, outside) == (False, False, [name])
+    assert all(found[k]._kept for k in range(200))
+
+
 def test_personal_data_base_spans():
     local, domain = r"[A-Za-z0-9._%+-]+", r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
     texts = [
