@@ -7,7 +7,7 @@ with such a choice in common are compared. Equal fingerprints are one row from t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -66,6 +66,25 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by ``choice, key``, cut between buckets only; the first two are ``choice, key``."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy() for c in columns]
+        last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        # Only the bucket still open is held; the others are done.
+        if cut or (held and (held[-1][0][-1], held[-1][1][-1]) != (rows[0][0], rows[1][0])):
+            done = [*held, [x[:cut] for x in rows]]
+            yield [np.concatenate(x) for x in zip(*done, strict=True)]
+            held = []
+        held.append([x[cut:] for x in rows])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def bucket_links(keyed: DataFrame, distance: int, width: int) -> DataFrame:
     """``a, b``: links that connect all ids of ``choice, key, id, w0 ..`` that share a bucket and lie within the distance.
 
@@ -108,21 +127,46 @@ def bucket_links(keyed: DataFrame, distance: int, width: int) -> DataFrame:
             a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(c).to_numpy() for c in columns]
-            last = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            # Only the bucket still open is held; the others are done.
-            if cut or (held and (held[-1][0][-1], held[-1][1][-1]) != (rows[0][0], rows[1][0])):
-                done = [*held, [x[:cut] for x in rows]]
-                yield links(*(np.concatenate(x) for x in zip(*done, strict=True)))
-                held = []
-            held.append([x[cut:] for x in rows])
-        if held:
-            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for choice, key, ids, *words in whole_buckets(batches, columns):
+            yield links(choice, key, ids, *words)
+
+    small_batches(keyed.sparkSession, 10_000)
+    return (
+        keyed.select(*columns)
+        .repartition("choice", "key")
+        .sortWithinPartitions("choice", "key", "id")
+        .mapInArrow(search, "a long, b long")
+        .distinct()
+    )
+
+
+def bucket_pairs(keyed: DataFrame, distance: int, width: int) -> DataFrame:
+    """``a, b``: all pairs of ids of ``choice, key, root, id, w0 ..`` of one bucket and two roots that lie within the distance."""
+    columns = ["choice", "key", "root", "id", *(f"w{k}" for k in range(width))]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for choice, key, roots, ids, *words in whole_buckets(batches, columns):
+            prints = np.stack(words, axis=1)
+            ends = np.flatnonzero(np.r_[(choice[1:] != choice[:-1]) | (key[1:] != key[:-1]), True]) + 1
+            pairs, waiting = [], 0
+            start = 0
+            for end in ends.tolist():
+                for k in range(start, end - 1):
+                    other = k + 1 + np.flatnonzero(roots[k + 1 : end] != roots[k])
+                    found = other[np.bitwise_count((prints[other] ^ prints[k]).view(np.uint64)).sum(axis=1) <= distance]
+                    if len(found):
+                        pairs.append((np.full(len(found), ids[k]), ids[found]))
+                        waiting += len(found)
+                    if waiting > 100_000:
+                        yield batch_of(pairs)
+                        pairs, waiting = [], 0
+                start = end
+            if pairs:
+                yield batch_of(pairs)
 
     small_batches(keyed.sparkSession, 10_000)
     return (
@@ -164,9 +208,13 @@ def near_duplicates(documents: DataFrame, size: int = 3, distance: int = 3, bloc
     return rows.join(by_print, rows["fp"] == by_print["_fp"]).select("doc_id", "fp", "component_id")
 
 
-def wide_simhash(data: bytes | None, size: int, words: int) -> np.ndarray:
+def shingle_set(data: bytes | None, size: int) -> np.ndarray:
+    """The distinct shingles' hashes in order."""
+    return np.unique(shingle_hashes(data or b"", size))
+
+
+def wide_simhash(hashes: np.ndarray, words: int) -> np.ndarray:
     """A fingerprint of ``words`` times 64 bits; every word takes its bits from the shingles' hashes mixed anew."""
-    hashes = shingle_hashes(data or b"", size)
     salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.zeros(64 * words, dtype=np.int64)
     for k in range(0, len(hashes), 2048):
@@ -178,40 +226,96 @@ def wide_simhash(data: bytes | None, size: int, words: int) -> np.ndarray:
     return np.packbits((counts * 2 > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def compared_sets(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b, near``: whether the ``shingles`` of the two in ``sets`` (``id, shingles``) have that Jaccard similarity at least."""
+    for end in ("a", "b"):
+        links = links.join(sets.select(F.col("id").alias(end), F.col("shingles").alias(f"_{end}")), end)
+    both = F.size(F.array_intersect("_a", "_b"))
+    # In whole thousandths, so that a similarity of exactly four fifths counts.
+    near = both * 1000 >= (F.size("_a") + F.size("_b") - both) * round(similarity * 1000)
+    return links.select("a", "b", near.alias("near"))
+
+
+def similar_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, distance: int, compared: int, words: int, block_bits: int) -> DataFrame:
+    """``a, b``: verified links that connect all ids of ``classes`` (``id, print``) that the fingerprints propose and the sets confirm.
+
+    First a forest of every bucket is verified. Where a link of it fails, what it held together falls into
+    parts; these are searched again for all pairs of two parts, which are verified too. So no
+    pair that shares a block and lies within the distance is left out.
+    """
+    per_word = 64 // block_bits
+    mask = F.lit((1 << block_bits) - 1).cast("bigint")
+    blocks = F.array(
+        *(F.shiftrightunsigned(F.get("print", F.lit(k // per_word)), k % per_word * block_bits).bitwiseAND(mask) for k in range(words * per_word))
+    )
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        prints = (F.get("print", F.lit(k)).alias(f"w{k}") for k in range(compared))
+        return rows.select(F.posexplode(blocks).alias("choice", "key"), *(c for c in rows.columns if c != "print"), *prints)
+
+    proposed = stored(bucket_links(keyed(classes), distance, compared))
+    nodes = proposed.select(F.col("a").alias("id")).union(proposed.select("b")).distinct()
+    sets = stored(sets_of(nodes))
+    judged = stored(compared_sets(proposed, sets, similarity))
+    links = judged.where("near").select("a", "b")
+    roots = components(links, "a", "b")
+    parts = stored(sets.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
+    failed = judged.where("not near").select("a", "b")
+    for end in ("a", "b"):
+        failed = failed.join(parts.select(F.col("id").alias(end), F.col("root").alias(f"_{end}")), end)
+    failed = failed.where("_a != _b")
+    torn = stored(failed.select(F.col("_a").alias("root")).union(failed.select("_b")).distinct())
+    if torn.isEmpty():
+        return links
+    again = classes.join(parts.join(torn, "root"), "id")
+    pairs = bucket_pairs(keyed(again), distance, compared)
+    return links.union(stored(compared_sets(pairs, sets, similarity).where("near").select("a", "b")))
+
+
 def drop_near_duplicates(
-    documents: DataFrame, size: int = 5, distance: int = 50, compared: int = 4, words: int = 16, block_bits: int = 16
+    documents: DataFrame, size: int = 5, distance: int = 50, compared: int = 4, words: int = 16, block_bits: int = 16, similarity: float = 0.8
 ) -> DataFrame:
     """One document of each group of near duplicates, unchanged: the one of smallest id.
 
-    Copies that share four fifths of their ``size``-word shingles differ in about 15 % of a
-    fingerprint's bits, so three bits of 64 aren't reach enough and blocks of 64 bits can't be long. Here
-    fingerprints have ``words`` times 64 bits: such copies agree in one of its 64 blocks of ``block_bits`` bits in
-    over 99 % of cases. Candidates link if the first ``compared`` words differ in ``distance`` bits at most (20 %).
+    Two texts are near duplicates if their sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` at
+    least; a group is what such pairs connect. Equal sets are one class from the start. Other pairs are proposed by
+    fingerprints of ``words`` times 64 bits, of which at similarity 0.8 about 15 % differ: such copies agree in one of the 64 blocks of
+    ``block_bits`` bits in over 99 % of cases. Pairs whose first ``compared`` words differ in ``distance`` bits at
+    most are verified on the sets themselves, so no pair below the similarity links.
     Texts without words are copies of each other. Null ids come last and are told apart by text; of repeated
     rows one stays. Very long texts are hashed in slices. An empty table gives an empty result.
     """
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<set: bigint, print: array<bigint>>")
     def wide(text: pa.Array) -> pa.Array:
-        prints = [wide_simhash(data, size, words) for data in text.to_pylist()]
-        flat = np.concatenate(prints) if prints else np.empty(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1, dtype=np.int32) * words), pa.array(flat))
+        sets = [shingle_set(data, size) for data in text.to_pylist()]
+        keys = pa.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], pa.uint64()).view(pa.int64())
+        flat = np.concatenate([wide_simhash(x, words) for x in sets]) if sets else np.empty(0, np.int64)
+        prints = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words), pa.array(flat))
+        return pa.StructArray.from_arrays([keys, prints], ["set", "print"])
+
+    @F.arrow_udf("array<bigint>")
+    def shingles(text: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(data, size).view(np.int64) for data in text.to_pylist()], pa.list_(pa.int64()))
 
     small_batches(documents.sparkSession)
     named = carried(documents, "doc_id").withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "_text_id": F.xxhash64("text")})
-    rows = stored(named.select("_id", "_text_id", wide(F.col("text").cast("binary")).alias("_print")).withColumn("_class", F.xxhash64("_print")))
-    classes = stored(rows.groupBy("_class").agg(F.min("_id").alias("first"), F.first("_print").alias("print")))
-    per_word = 64 // block_bits
-    mask = F.lit((1 << block_bits) - 1).cast("bigint")
-    blocks = F.array(
-        *(F.shiftrightunsigned(F.get("print", F.lit(k // per_word)), k % per_word * block_bits).bitwiseAND(mask) for k in range(words * per_word))
-    )
-    keyed = classes.select(
-        F.posexplode(blocks).alias("choice", "key"), F.col("_class").alias("id"), *(F.get("print", F.lit(k)).alias(f"w{k}") for k in range(compared))
+    rows = stored(
+        named.select("_id", "_text_id", wide(F.col("text").cast("binary")).alias("_wide"))
+        .select("_id", "_text_id", F.col("_wide.set").alias("_class"), F.col("_wide.print").alias("_print"))
     )
-    roots = components(bucket_links(keyed, distance, compared), "a", "b")
+    classes = stored(rows.groupBy("_class").agg(F.min(F.struct("_id", "_text_id")).alias("first"), F.first("_print").alias("print")))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = classes.join(nodes, F.col("_class") == F.col("id")).select("id", "first._id", "first._text_id")
+        small_batches(documents.sparkSession)
+        texts = named.select("_id", "_text_id", "text").join(wanted, ["_id", "_text_id"])
+        return texts.select("id", shingles(F.col("text").cast("binary")).alias("shingles")).dropDuplicates(["id"])
+
+    links = similar_links(classes.select(F.col("_class").alias("id"), "print"), sets_of, similarity, distance, compared, words, block_bits)
+    roots = components(links, "a", "b")
     linked = stored(
-        classes.join(roots, classes["_class"] == roots["node"], "left").select("_class", "first", F.coalesce("root", "_class").alias("_root"))
+        classes.join(roots, classes["_class"] == roots["node"], "left").select("_class", F.col("first._id").alias("first"), F.coalesce("root", "_class").alias("_root"))
     )
     firsts = linked.groupBy("_root").agg(F.min("first").alias("_first"))
     groups = linked.select("_class", "_root").join(firsts, "_root")

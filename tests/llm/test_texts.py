@@ -293,6 +293,58 @@ def test_near_duplicates_leave_one(clashing, no_documents, spark):
     assert {2 * k for k in range(60)} <= left and len(left) <= 62
 
 
+def shingles(text):
+    own = text.lower().split()
+    return {tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def variants(seed, n, copies, every):
+    """Copies of one text that each have a word of their own at about every so many words."""
+    from conftest import prose
+
+    rng = np.random.default_rng(seed)
+    base = prose(seed, n).split()
+    for c in range(copies):
+        own = list(base)
+        for j in rng.choice(n, n // every, replace=False):
+            own[j] = f"own{seed}x{c}x{j}"
+        yield " ".join(own)
+
+
+def groups_of(texts, similarity=0.8):
+    """The smallest place in each group of texts connected by exact similarity."""
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(sets[a], sets[b]) >= similarity:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {root(k) for k in range(len(texts))}
+
+
+def test_texts_below_the_similarity_stay(spark):
+    texts = [t for seed, every in ((1, 150), (2, 100), (3, 85), (4, 75), (5, 60), (6, 45), (7, 36), (8, 30)) for t in variants(seed, 300, 30, every)]
+    sets = [shingles(t) for t in texts]
+    values = [jaccard(sets[a], sets[b]) for k in range(0, len(texts), 30) for a in range(k, k + 30) for b in range(k, a)]
+    assert min(values) < 0.6 and sum(0.5 <= v < 0.75 for v in values) > 1000
+    want = groups_of(texts)
+    assert 30 < len(want) < len(texts)
+    left = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # A fingerprint may miss a pair, but no text may go that is not connected to another one.
+    assert want <= left and len(left - want) <= 2
+
+
 def viterbi(unit, table):
     scores = {piece: (score, number) for piece, number, score in table.rows}
     best = [(0.0, 0, [])]
