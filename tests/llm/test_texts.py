@@ -345,6 +345,22 @@ def test_texts_below_the_similarity_stay(spark):
     assert want <= left and len(left - want) <= 2
 
 
+def test_distances_lose_no_pair_that_shares_a_block():
+    from inspect import signature
+
+    default = {name: p.default for name, p in signature(simhash.drop_near_duplicates).parameters.items()}
+    lost = pairs = 0
+    for seed in range(400):
+        texts = list(variants(seed, 300, 2, (85, 100)[seed % 2]))
+        value = jaccard(*map(shingles, texts))
+        if 0.8 <= value < 0.84:
+            x, y = (simhash.wide_simhash(simhash.shingle_set(t.encode(), 5), 16) for t in texts)
+            bits = np.bitwise_count((x ^ y).view(np.uint64))
+            pairs += 1
+            lost += bits[: default["compared"]].sum() > default["distance"] or bits.sum() > default["whole"]
+    assert pairs > 150 and lost == 0
+
+
 def viterbi(unit, table):
     scores = {piece: (score, number) for piece, number, score in table.rows}
     best = [(0.0, 0, [])]
