@@ -15,7 +15,7 @@ from chatseam.schema import with_validation
 from chatseam.session import prepare
 from chatseam.sources.listing import list_files
 from chatseam.sources.parquet import corpus_path, read_status, write_corpus
-from chatseam.sources.raw import read_corpus_raw
+from chatseam.sources.raw import corpus_rejects, read_corpus_raw
 from chatseam.specs import CorpusSpec, IngestSettings, enabled_specs, raw_location
 
 log = logging.getLogger(__name__)
@@ -31,6 +31,10 @@ class RunResult:
     drop_rate: float = 0.0
     language_distribution: dict[str, int] = field(default_factory=dict)
     output_path: str = ""
+    # Files, items and rows that no record could be read from, see ``corpus_rejects``.
+    records_unread: int = 0
+    # Why the run failed; empty if it did not.
+    error: str = ""
 
     @property
     def records_rejected(self) -> int:
@@ -78,9 +82,10 @@ def run_corpus(
         log.warning("no input files for corpus %s in %s", spec.name, raw_location(spec, root))
         return RunResult(spec.name)
     records = read_corpus_raw(spark, spec, root)
+    unread = corpus_rejects(spark, spec, root).count()
     if records.isEmpty():
         log.warning("no records for corpus %s", spec.name)
-        return RunResult(spec.name)
+        return RunResult(spec.name, records_unread=unread)
 
     checked = canonical_messages(records, spec, settings)
     path = ""
@@ -99,6 +104,7 @@ def run_corpus(
         drop_rate=counts["drop_rate"],
         language_distribution=dict(counts["language_distribution"] or {}),
         output_path=path,
+        records_unread=unread,
     )
 
 
@@ -110,7 +116,7 @@ def run_enabled(
     settings: IngestSettings = IngestSettings(),
     dry_run: bool = False,
 ) -> dict[str, RunResult]:
-    """Run every enabled corpus; one that fails is logged and left out of the result."""
+    """Run every enabled corpus; one that fails is logged, and its result is zeros and the error."""
     enabled = enabled_specs(specs)
     if not enabled:
         log.warning("no corpus is enabled")
@@ -118,6 +124,7 @@ def run_enabled(
     for spec in enabled:
         try:
             results[spec.name] = run_corpus(spark, spec, output_dir, root, settings, dry_run)
-        except Exception:
+        except Exception as error:
             log.exception("corpus %s failed", spec.name)
+            results[spec.name] = RunResult(spec.name, error=f"{type(error).__name__}: {error}")
     return results

@@ -320,10 +320,12 @@ def _csv_rows(
     ).select(
         F.col("_metadata.file_name").alias("source_file"),
         _record_file(spark, directory).alias("record_file"),
-        *columns,
-        "corrupt",
+        F.struct(*columns, "corrupt").alias("row"),
         *_position(),
     )
+    # The parser tells whether a row is corrupt only if it also has to give its cells. Unpacking all of them
+    # from one struct keeps the scan from being pruned to ``corrupt`` alone, whatever is asked of the rows.
+    scan = scan.select("source_file", "record_file", "_path", "_block", "_seen", F.inline(F.array("row")))
     return _number_rows(scan, _split_bound(spark, files))
 
 

@@ -200,7 +200,9 @@ def test_failing_corpus_does_not_stop_the_others(spark, tmp_path):
         "conti": spec_at("conti", tmp_path / "a", enabled=True),
     }
     results = run_enabled(spark, specs, str(tmp_path / "out"))
-    assert list(results) == ["conti"]
+    assert list(results) == ["bad", "conti"]
+    assert results["bad"].error == "RuntimeError: broken loader" and results["bad"].records_raw == 0
+    assert results["conti"].error == "" and results["conti"].records_written > 0
     assert run_enabled(spark, {}, str(tmp_path / "out")) == {}
 
 
@@ -334,6 +336,33 @@ def test_csv_rows_that_do_not_fit_are_rejected_whole(spark, tmp_path):
     ]
 
 
+def csv_corpus(name, directory, **more):
+    aliases = {"msg_id": ["id"], "timestamp": ["date"], "sender": ["from"], "recipient": ["to"], "body": ["text"]}
+    return {name: {"enabled": True, "raw_dir": str(directory), "column_aliases": aliases, **more}}
+
+
+@pytest.mark.parametrize("headers", [1, 2])
+def test_csv_corpora_run(spark, tmp_path, headers):
+    raw_dir = tmp_path / "raw"
+    write(raw_dir, "a.csv", "\n".join([*CSV_LINES, "9006,too,few"]) + "\n")
+    if headers == 2:
+        write(raw_dir, "b.csv", "text,id\nwords under another header,77\n")
+        write(raw_dir, "c.csv", "\n")
+        write(raw_dir, "d.txt", "\n".join(TEXT_LINES) + "\n")
+    specs = load_specs(csv_corpus("logs", raw_dir, scan_text=headers == 2))
+    spec, read, unread = specs["logs"], {1: 5, 2: 9}[headers], {1: 1, 2: 2}[headers]
+    records = raw.read_corpus_raw(spark, spec)
+    assert records.count() == read and not records.isEmpty() and records.select("ordinal").count() == read
+    assert raw.csv_rejects(spark, str(raw_dir)).count() == unread
+    assert raw.read_exploration_raw(spark, str(raw_dir)).count() == {1: 5, 2: 6}[headers]
+    dry = run_corpus(spark, spec, dry_run=True)
+    result = run_enabled(spark, specs, str(tmp_path / "out"))["logs"]
+    assert (result.records_raw, result.records_unread, result.error) == (read, unread, "")
+    assert dry.records_written == result.records_written == read_corpora(spark, str(tmp_path / "out")).count() == read
+    # Every data row of every file is a record or a reject; a file without a header is one reject.
+    assert read + unread == {1: 6, 2: 11}[headers]
+
+
 def test_exploration_scan_is_recursive_and_prefers_json(spark, tmp_path):
     write(tmp_path / "x", "a.json", [{"n": 1}])
     write(tmp_path / "y", "a.json", {"messages": [{"n": 2}]})
