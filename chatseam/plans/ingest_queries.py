@@ -18,6 +18,8 @@ from chatseam.plans import tables as T
 from chatseam.plans.ingest import canonical_messages
 from chatseam.plans.registry import query
 from chatseam.schema import decode_metadata, rejected_rows, valid_rows, with_validation
+from chatseam.sources.ranges import cut_records
+from chatseam.specs import DEFAULT_ENVELOPE_KEYS
 
 NTZ = "timestamp_ntz"
 
@@ -575,3 +577,41 @@ def sample_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped_sample(events, "user_id", "event_id", cap=50, seed=7)
 
 
+
+
+def _pieces(documents: DataFrame) -> DataFrame:
+    """Texts of JSON documents as the pieces and ranges a scan would give: up to a closing brace, seven to a range."""
+    parts = F.split("text", r"\}")
+    pieces = documents.select("path", F.octet_length("text").alias("size"), F.posexplode(parts).alias("seen", "value"), F.size(parts).alias("n"))
+    return pieces.where("seen < n - 1 or value <> ''").withColumn("range", F.floor(F.col("seen") / 7))
+
+
+@query(
+    "json_envelope_ranges",
+    """
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal, turn, role, text FROM conversations
+""",
+)
+def json_envelope_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as objects with a message list between other fields, cut into records range by range."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    text = F.format_string('{"conv": {"id": [%d, {"}": "]{"}]}, "messages": %s, "n": %d}', "conv_id", F.to_json(turns), F.count("*"))
+    documents = T.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("path")).agg(text.alias("text"))
+    items = cut_records(_pieces(documents), DEFAULT_ENVELOPE_KEYS)
+    fields = [F.try_variant_get(F.col("rec")[name], "$", kind).alias(name) for name, kind in (("turn", "bigint"), ("role", "string"), ("text", "string"))]
+    return items.select(F.col("path").alias("conv_id"), "ordinal", *fields)
+
+
+@query(
+    "json_array_ranges",
+    """
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ordinal, event_id, event_type, props FROM events
+""",
+)
+def json_array_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one list a user, with objects in strings and in records, cut into records range by range."""
+    events = F.array_sort(F.collect_list(F.struct("event_id", F.struct("event_type", "props").alias("content"))))
+    documents = T.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("path")).agg(F.to_json(events).alias("text"))
+    items = cut_records(_pieces(documents), DEFAULT_ENVELOPE_KEYS)
+    content = [F.try_variant_get(F.col("rec")["content"], f"$.{name}", "string").alias(name) for name in ("event_type", "props")]
+    return items.select(F.col("path").alias("user_id"), "ordinal", F.try_variant_get(F.col("rec")["event_id"], "$", "bigint").alias("event_id"), *content)

@@ -25,6 +25,7 @@ from chatseam.functions.text import strip
 from chatseam.session import prepare
 from chatseam.sources.listing import FileEntry, directory_exists, escape_glob, list_files, qualified
 from chatseam.sources.listing import read_first_record
+from chatseam.sources.ranges import read_ranges
 from chatseam.specs import DEFAULT_ENVELOPE_KEYS, CorpusSpec, raw_location
 
 RAW_SCHEMA = (
@@ -76,15 +77,24 @@ def _record_file(spark: SparkSession, directory: str) -> Column:
 # --- JSON documents ---------------------------------------------------------
 
 
+# Documents of more bytes are read in ranges.
+LARGE_DOCUMENT = 64 << 20
+
+
+def _json_files(spark: SparkSession, directory: str, recursive: bool, large: int) -> tuple[list[FileEntry], list[FileEntry]]:
+    """The files that are read whole and those that are read in ranges."""
+    prepare(spark)
+    files = list_files(spark, directory, ".json", recursive)
+    return [entry for entry in files if entry.length <= large], [entry for entry in files if entry.length > large]
+
+
 def _json_documents(
-    spark: SparkSession,
-    directory: str,
-    recursive: bool,
+    spark: SparkSession, directory: str, recursive: bool, small: Sequence[FileEntry], any_large: bool
 ) -> DataFrame | None:
-    prepare(spark)
-    if not list_files(spark, directory, ".json", recursive):
+    if not small:
         return None
-    text = _reader(spark, ".json", recursive).text(_scan_path(directory, ".json", recursive), wholetext=True)
+    paths = [escape_glob(entry.path) for entry in small] if any_large else _scan_path(directory, ".json", recursive)
+    text = _reader(spark, ".json", recursive).text(paths, wholetext=True)
     return text.select(
         F.col("_metadata.file_name").alias("source_file"),
         _record_file(spark, directory).alias("record_file"),
@@ -92,27 +102,45 @@ def _json_documents(
     )
 
 
+def _range_items(
+    spark: SparkSession, directory: str, files: Sequence[FileEntry], envelope_keys: Sequence[str], bare_object: bool
+) -> DataFrame:
+    columns = {"source_file": F.col("_metadata.file_name"), "record_file": _record_file(spark, directory)}
+    return read_ranges(spark, files, columns, envelope_keys, bare_object)
+
+
 def read_json(
     spark: SparkSession,
     directory: str,
     envelope_keys: Sequence[str] = DEFAULT_ENVELOPE_KEYS,
     recursive: bool = False,
     bare_object: bool = True,
+    large: int = LARGE_DOCUMENT,
 ) -> DataFrame:
     """Records of all ``*.json`` documents; see :func:`document_items` for the envelope rule.
 
-    A document is one task's row until it is exploded. Input that comes in very
-    large files should be newline-delimited and read with :func:`read_text`.
+    A document of up to ``large`` bytes is one task's row until it is exploded; larger ones are cut
+    into records range by range (:mod:`chatseam.sources.ranges`). Both give the same records, but for a
+    large document with an invalid item, which loses that item only.
     """
-    documents = _json_documents(spark, directory, recursive)
-    if documents is None:
-        return empty_records(spark)
-    items = document_items(F.col("value"), envelope_keys, bare_object)
-    # The parse sits inside the generator, where no filter can repeat it.
-    parsed = documents.select(
-        "source_file", "record_file", F.posexplode(F.transform(items, as_record)).alias("ordinal", "rec")
-    )
-    return parsed.where("rec IS NOT NULL").select(
+    small, ranged = _json_files(spark, directory, recursive, large)
+    documents = _json_documents(spark, directory, recursive, small, bool(ranged))
+    records = empty_records(spark)
+    if documents is not None:
+        items = document_items(F.col("value"), envelope_keys, bare_object)
+        # The parse sits inside the generator, where no filter can repeat it.
+        parsed = documents.select(
+            "source_file", "record_file", F.posexplode(F.transform(items, as_record)).alias("ordinal", "rec")
+        )
+        records = _json_records(parsed)
+    if ranged:
+        found = _json_records(_range_items(spark, directory, ranged, envelope_keys, bare_object))
+        records = found if documents is None else records.unionByName(found)
+    return records
+
+
+def _json_records(items: DataFrame) -> DataFrame:
+    return items.where("rec IS NOT NULL").select(
         "source_file",
         "record_file",
         F.lit(JSON_RANK).alias("format_rank"),
@@ -126,23 +154,30 @@ def json_rejects(
     directory: str,
     envelope_keys: Sequence[str] = DEFAULT_ENVELOPE_KEYS,
     recursive: bool = False,
+    large: int = LARGE_DOCUMENT,
 ) -> DataFrame:
     """Documents that are no JSON list or object, and list items that are no objects."""
-    documents = _json_documents(spark, directory, recursive)
-    if documents is None:
-        return empty_rejects(spark)
-    items = document_items(F.col("value"), envelope_keys, True)
-    reasons = F.when(items.isNull(), F.array(F.lit("not a JSON list or object"))).otherwise(
-        F.array_compact(
-            F.transform(
-                items,
-                lambda item, pos: F.when(
-                    as_record(item).isNull(), F.concat(F.lit("item "), pos, F.lit(" is not an object"))
-                ),
+    small, ranged = _json_files(spark, directory, recursive, large)
+    documents = _json_documents(spark, directory, recursive, small, bool(ranged))
+    rejects = empty_rejects(spark)
+    if documents is not None:
+        items = document_items(F.col("value"), envelope_keys, True)
+        reasons = F.when(items.isNull(), F.array(F.lit("not a JSON list or object"))).otherwise(
+            F.array_compact(
+                F.transform(
+                    items,
+                    lambda item, pos: F.when(
+                        as_record(item).isNull(), F.concat(F.lit("item "), pos, F.lit(" is not an object"))
+                    ),
+                )
             )
         )
-    )
-    return documents.select("source_file", "record_file", F.explode(reasons).alias("reason"))
+        rejects = documents.select("source_file", "record_file", F.explode(reasons).alias("reason"))
+    if ranged:
+        items = _range_items(spark, directory, ranged, envelope_keys, True)
+        found = items.where("rec IS NULL").select("source_file", "record_file", "reason")
+        rejects = found if documents is None else rejects.unionByName(found)
+    return rejects
 
 
 # --- positions in splittable files -------------------------------------------
