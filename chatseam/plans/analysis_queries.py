@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatseam.functions.checksums import base58check, bech32, mixed_case
 from chatseam.functions.text import tokens
 from chatseam.operators import actors as A
 from chatseam.operators import clean as C
@@ -578,6 +579,51 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("start_no", F.col("start_no").cast("bigint"))
 
 
+@query(
+    "checked_addresses",
+    """
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'eth' ELSE 'btc' END AS kind, 1::BIGINT AS start_no FROM documents WHERE doc_id % 5 <> 0
+""",
+)
+def checked_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made from hashes of the documents; every fifth has a wrong character or case and must be refused."""
+    seed = F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 40)
+    place = F.col("doc_id") % 3
+    address = F.when(place == 0, base58check(F.concat(F.lit("00"), seed))).when(place == 1, bech32(0, seed)).otherwise(mixed_case(F.concat(F.lit("0x"), seed)))
+    other = F.when(F.substring(address, 12, 1) == "q", "p").otherwise("q")
+    wrong = F.when(place == 2, F.concat(F.lit("0x"), F.translate(F.substring(address, 3, 40), "abcdefABCDEF", "ABCDEFabcdef"))).otherwise(
+        F.overlay(address, other, 12)
+    )
+    text = F.concat(F.lit("send it to "), F.when(F.col("doc_id") % 5 == 0, wrong).otherwise(address), F.lit(", today"))
+    messages = T.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    found = I.extract_indicators(messages, key="doc_id", text="text", checked=True)
+    return found.select("doc_id", "kind", F.col("start_no").cast("bigint").alias("start_no"))
+
+
+_PHRASE = r"\p{L}+ \p{L}+ \p{L}+"
+
+
+@query(
+    "gazetteer_names",
+    rf"""
+WITH names AS (SELECT DISTINCT lower(regexp_extract(text, '{_PHRASE}')) AS name FROM benchmark),
+p AS (
+  SELECT '(?i)[^\p{{L}}\p{{N}}_](' || string_agg(replace(name, ' ', '  '), '|' ORDER BY length(name) DESC, name) || ')[^\p{{L}}\p{{N}}_]' AS pattern
+  FROM names WHERE name <> '')
+SELECT doc_id, lower(replace(unnest(found), '  ', ' ')) AS name, generate_subscripts(found, 1)::BIGINT AS place
+FROM (SELECT doc_id, regexp_extract_all(' ' || regexp_replace(text, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') || ' ', pattern, 1) AS found FROM documents, p)
+""",
+)
+def gazetteer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions, in documents, of the first three words of benchmark items, numbered in text order."""
+    phrase = F.regexp_extract("text", _PHRASE, 0)
+    names = T.table(spark, sf_dir, "benchmark").select(phrase.alias("name"), F.lit("phrase").alias("kind"))
+    found = I.match_names(T.table(spark, sf_dir, "documents"), names, key="doc_id", text="text")
+    mentions = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "name"))).alias("mentions"))
+    rows = mentions.select("doc_id", F.posexplode("mentions").alias("place", "mention"))
+    return rows.select("doc_id", F.col("mention.name").alias("name"), (F.col("place") + 1).cast("bigint").alias("place"))
+
+
 @query("page_urls", _indicator_sql(I.PATTERNS, "pages", "page_id", "url || ' ' || html"))
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = T.table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit(" "), "html").alias("text"))

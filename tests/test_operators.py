@@ -298,6 +298,44 @@ def test_indicators(spark):
     }
 
 
+def test_wrong_checksums_are_refused(spark):
+    good = ["1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4", "0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed", "0x" + "ab" * 20]
+    bad = ["1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5", "0x5AAeb6053F3E94C9b9A09f33669435E7Ef1BeAed"]
+    data = frame(spark, [(1, " ".join(good)), (2, " ".join(bad) + " a@b.org"), (3, None)], "id int, raw_text string")
+    got = indicators.extract_indicators(data, key="id", checked=True).collect()
+    assert sorted((r.id, r.value) for r in got) == sorted([(1, a) for a in good] + [(2, "a@b.org")])
+
+
+def brute_names(text, names):
+    out, at, low = [], 0, text.lower()
+    word = lambda k: 0 <= k < len(text) and (text[k].isalnum() or text[k] == "_")
+    while at < len(text):
+        here = [n for n in names if low.startswith(n, at) and not word(at - 1) and not word(at + len(n))]
+        if here:
+            best = max(here, key=len)
+            out.append((best, at, at + len(best)))
+            at += len(best)
+        else:
+            at += 1
+    return out
+
+
+def test_names_of_a_large_gazetteer(spark):
+    parts = ["ab", "ba", "a", "b", "é", "x_1", "ß"]
+    names = {f"{p} {q}" for p in parts for q in parts} | set(parts) | {f"{p}-{q} {r}" for p in parts for q in parts for r in parts}
+    rare = [f"name {k} of many" for k in range(100_000)]
+    rows = [("a b ba  Ab-É A,ba x_1", 1), ("AB ab abab b a-b a-b ba", 2), (None, 3), ("", 4), ("name 77 of many; NAME 99999 OF MANY, name 100000 of many", 5), ("İ ab ẞ ba", 6)]
+    listed = spark.createDataFrame([(n, "part") for n in names] + [(n, "rare") for n in rare] + [("ab", "also"), (" ", "x"), (None, "y")], "name string, kind string")
+    got = indicators.match_names(frame(spark, rows, "t string, id int"), listed, key="id", text="t").collect()
+    want = {(i, n, s, e) for t, i in rows if t and i != 6 for n, s, e in brute_names(t, [*names, "name 77 of many", "name 99999 of many"])}
+    assert {(r.id, r.name, r.start, r.end) for r in got if r.id != 6} == want
+    assert [(r.name, r.value, r.start) for r in got if r.id == 6 and r.kind != "also"] == [("ab ß", "ab ẞ", 2), ("ba", "ba", 7)]
+    assert {r.kind for r in got if r.name == "ab"} == {"part", "also"}
+    with pytest.raises(ValueError, match="names"):
+        indicators.match_names(frame(spark, rows, "t string, id int"), listed, key="id", text="t", most=10)
+    assert indicators.match_names(frame(spark, rows, "t string, id int"), listed.where("false"), key="id", text="t").count() == 0
+
+
 # --- actors --------------------------------------------------------------------------------
 
 
