@@ -324,7 +324,7 @@ def test_names_of_a_large_gazetteer(spark):
     parts = ["ab", "ba", "a", "b", "é", "x_1", "ß"]
     names = {f"{p} {q}" for p in parts for q in parts} | set(parts) | {f"{p}-{q} {r}" for p in parts for q in parts for r in parts}
     rare = [f"name {k} of many" for k in range(100_000)]
-    rows = [("a b ba  Ab-É A,ba x_1", 1), ("AB ab abab b a-b a-b ba", 2), (None, 3), ("", 4), ("name 77 of many; NAME 99999 OF MANY, name 100000 of many", 5), ("İ ab ẞ ba", 6)]
+    rows = [("a b ba  Ab-É A,ba x_1", 1), ("AB ab abab b a-b a-b ba", 2), (None, 3), ("", 4), ("name 77 of many; NAME 99999 OF MANY, name 100000 of many", 5), ("İ ab ẞ ba", 6), ("only ab.", 7)]
     listed = spark.createDataFrame([(n, "part") for n in names] + [(n, "rare") for n in rare] + [("ab", "also"), (" ", "x"), (None, "y")], "name string, kind string")
     got = indicators.match_names(frame(spark, rows, "t string, id int"), listed, key="id", text="t").collect()
     want = {(i, n, s, e) for t, i in rows if t and i != 6 for n, s, e in brute_names(t, [*names, "name 77 of many", "name 99999 of many"])}
