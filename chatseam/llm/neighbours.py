@@ -25,14 +25,12 @@ BLOCK = 8192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v`` (doubles) of vectors that aren't null or zero and hold finite components only, of the commonest length."""
-    rows = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(
+    """``vec_id, v`` (doubles) of vectors with an id that aren't null or zero and hold finite components only."""
+    return vectors.where("vec_id is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(
         F.col("v").isNotNull()
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    size = rows.agg(F.mode(F.size("v"), deterministic=True)).first()[0]
-    return rows.where(F.size("v") == (size or 0))
 
 
 def _hashes(x: np.ndarray, largest: float, index: bool, trees: int, bits: int, seed: int) -> np.ndarray:
@@ -61,12 +59,23 @@ def nearest(
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every query row, itself left out.
 
     A query ascends until the vectors under its prefixes, counted in each tree, are ``least`` and
-    ``share`` times all vectors at least; below that many all vectors are candidates and the result
+    ``share`` times all vectors at least. Up to ``least`` vectors all are candidates and the result
     is exact. Equal vectors are one entry with its ``k + 1`` smallest ids, which is all that a result
-    can hold of them. Vectors of ``usable`` take part; rows of equal id are rows of their own only
+    can hold of them. Vectors of ``usable`` take part, so rows with a null id don't; each length is searched among its own, one
+    search after the other, so lengths should be few. Rows of equal id are rows of their own only
     by their vector. Fewer than ``k`` candidates give fewer rows, an empty table none.
     """
     rows = stored(usable(vectors).withColumn("_query", F.coalesce(is_query, F.lit(False))))
+    sizes = [r[0] for r in rows.select(F.size("v").alias("n")).distinct().collect()]
+    found = [_nearest(rows.where(F.size("v") == n), k, trees, bits, share, least, seed) for n in sorted(sizes)]
+    found = found or [_nearest(rows, k, trees, bits, share, least, seed)]
+    for more in found[1:]:
+        found[0] = found[0].unionByName(more)
+    return found[0]
+
+
+def _nearest(rows: DataFrame, k: int, trees: int, bits: int, share: float, least: int, seed: int) -> DataFrame:
+    """:func:`nearest` among vectors of one length."""
     first = Window.partitionBy("v").orderBy("vec_id")
     classes = stored(
         rows.dropDuplicates(["v", "vec_id"])
@@ -79,7 +88,7 @@ def nearest(
     )
     total, largest = classes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
     largest = float(np.sqrt(largest or 0.0))
-    wanted = max(least, int(share * total))
+    wanted = max(least, int(share * total)) if total > least else trees * total + 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

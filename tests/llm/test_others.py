@@ -71,6 +71,17 @@ def test_neighbours_exact_when_few(spark):
     assert [r.rank for r in few] == [1, 2, 3, 4]
 
 
+def test_neighbours_of_every_length_and_null_ids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(x) for x in np.round(rng.normal(size=8 if k % 3 else 5), 3)]) for k in range(700)]
+    frame = spark.createDataFrame([*rows, (None, rows[0][1]), (None, rows[1][1]), (None, None)], "vec_id long, embedding array<double>").repartition(3)
+    found = neighbours.nearest(frame, F.coalesce(F.col("vec_id") % 20 == 0, F.lit(True)), k=7).collect()
+    want = Counter()
+    for size in (5, 8):
+        want += brute_nearest([r for r in rows if len(r[1]) == size], lambda q: q % 20 == 0, 7)
+    assert Counter((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found) == want
+
+
 @on_tables
 def test_neighbours_recall(spark):
     path = SF_DIR.replace("sf0.001", "sf0.1")
