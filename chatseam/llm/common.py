@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from types import ModuleType
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+T = TypeVar("T")
+
 # A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -89,3 +95,14 @@ def with_sum_before(
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand texts to Python in batches of few rows, so that long ones don't add up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def per_worker(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from one task to the next, made on first use: tokenizers and what they remember.
+
+    Functions travel by value, so their own module's globals are new in every task.
+    """
+    kept = sys.modules.setdefault("chatseam_worker_state", ModuleType("chatseam_worker_state")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

@@ -19,27 +19,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatseam.llm.common import stored, table, with_sum_before
+from chatseam.llm.common import per_worker, stored, table, with_sum_before
 from chatseam.llm.registry import query
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
 
-# Characters for which the cut below is that of the tokenizer: Latin letters in composed form.
-_PLAIN = re.compile("[\x00-ɏ]*").fullmatch
-_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[0-9²³¹¼-¾]|(?:[^\w\s]|[_\x1c-\x1f])+").findall
+# Characters for which the cuts below are those of the tokenizer: Latin letters in composed form, no separators.
+_PLAIN = re.compile("[\x00-\x1b\x20-ɏ]*").fullmatch
+_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[0-9²³¹¼-¾]|(?:[^\w\s]|_)+").findall
 _CHUNK = re.compile(r"[^ \n\r\t]+").findall
-# Units remembered by a task; beyond them it starts anew.
-REMEMBERED = 400_000
+# Words remembered by a worker; beyond them it starts anew.
+REMEMBERED = 500_000
 
 
 class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit numbers, remembering the ids of words.
 
     The tokenizer drops white space and cuts the rest into units that no merge crosses, so a unit's
-    ids don't depend on its neighbours. Texts of plain Latin characters are cut here, others
-    only at blanks; every unit is encoded by the tokenizer itself, once.
+    ids don't depend on its neighbours. Words of plain Latin characters are cut into units here, other
+    texts only at blanks; every unit is encoded by the tokenizer itself, once.
     """
 
     def __init__(self, path: str):
@@ -49,6 +49,7 @@ class WordTokenizer:
         size = self.tokenizer.get_vocab_size()
         self.ends_unit = np.array([str(self.tokenizer.id_to_token(k)).endswith("</w>") for k in range(size)])
         self.units: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def _learn_units(self, missing: list[str]) -> None:
@@ -65,24 +66,43 @@ class WordTokenizer:
             self.units[unit] = data[start:end]
             start = end
 
+    def _learn_words(self, missing: list[str]) -> None:
+        """A word's ids are those of its units; units are fewer than words and are learnt once for all."""
+        cut = [_UNIT(word) for word in missing]
+        units = list({unit for found in cut for unit in found if unit not in self.units})
+        for at in range(0, len(units), 4096):
+            self._learn_units(units[at : at + 4096])
+        for word, found in zip(missing, cut, strict=True):
+            self.words[word] = b"".join([self.units[unit] for unit in found])
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        if len(self.units) > REMEMBERED:
-            self.units = {}
-        if len(self.chunks) > REMEMBERED:
-            self.chunks = {}
-        found = []
+        for name in ("units", "words", "chunks"):
+            if len(getattr(self, name)) > REMEMBERED:
+                setattr(self, name, {})
+        get, found, unknown, rest = self.words.get, [], {}, {}
         for text in texts:
             text = text or ""
-            plain = _PLAIN(text) and "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text))
-            found.append((True, _UNIT(text.lower())) if plain else (False, _CHUNK(text)))
-        missing = list({unit for plain, units in found if plain for unit in units if unit not in self.units})
-        for at in range(0, len(missing), 4096):
-            self._learn_units(missing[at : at + 4096])
-        missing = list({unit for plain, units in found if not plain for unit in units if unit not in self.chunks})
+            if _PLAIN(text) and "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+                words = text.lower().split()
+                parts = list(map(get, words))
+                if None in parts:
+                    places = [at for at, part in enumerate(parts) if part is None]
+                    unknown[len(found)] = [(at, words[at]) for at in places]
+                found.append(parts)
+            else:
+                rest[len(found)] = _CHUNK(text)
+                found.append([])
+        self._learn_words(list({word for places in unknown.values() for _, word in places}))
+        for row, places in unknown.items():
+            for at, word in places:
+                found[row][at] = self.words[word]
+        missing = list({word for words in rest.values() for word in words if word not in self.chunks})
         if missing:
-            for unit, encoded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.chunks[unit] = np.array(encoded.ids, "<u4").tobytes()
-        return [b"".join(map((self.units if plain else self.chunks).__getitem__, units)) for plain, units in found]
+            for word, encoded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+                self.chunks[word] = np.array(encoded.ids, "<u4").tobytes()
+        for row, words in rest.items():
+            found[row] = [self.chunks[word] for word in words]
+        return [b"".join(parts) for parts in found]
 
 
 def token_pieces(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -95,7 +115,7 @@ def token_pieces(documents: DataFrame, tokenizer: str = TOKENIZER, capacity: int
     kind = dict(documents.dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, close = WordTokenizer(tokenizer), np.array([end], "<u4").tobytes()
+        encoder, close = per_worker(f"words {tokenizer}", lambda: WordTokenizer(tokenizer)), np.array([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
