@@ -192,9 +192,12 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, values: Sequence[str], most
     below. Joins on the component meet a hot key in the first rounds: its other side is one row, and the
     skew join splits it. Tables of earlier rounds are read again until the end.
     """
-    start = nodes.select(
-        "node", "parent", "depth", F.col("conv_id").alias("member"), "below", F.lit(ROOT).alias("top"),
-        *values, *[F.lit(0).cast("bigint").alias(f"sum_{name}") for name in values],
+    # As a table, or the planner would turn joins on the one first top into products with one row.
+    start = stored(
+        nodes.select(
+            "node", "parent", "depth", F.col("conv_id").alias("member"), "below", F.lit(ROOT).alias("top"),
+            *values, *[F.lit(0).cast("bigint").alias(f"sum_{name}") for name in values],
+        )
     )
     columns, finished, small = start.columns, [], []
     lookup = paths.select(F.col("conv_id").alias("member"), F.col("depth").alias("at"), F.col("node").alias("child"), F.col("parent").alias("over"))
