@@ -18,12 +18,17 @@ MICROSECOND_THRESHOLD = 1e14
 _TIME = r" \d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
 _CLOCK = rf"({_TIME})?$"
 _READ_CLOCK = "[ H:mm[:ss[.SSSSSSSSS]]]"
+_HALF_DAY = r" \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]$"
+_READ_HALF_DAY = " h:mm[:ss] a"
 _SHAPES = (
     (r"^\d{8}$", ("yyyyMMdd",)),
     (r"^\d{8}T\d{6}(Z|[+-]\d{4})?$", ("yyyyMMdd'T'HHmmss[XX]",)),
     (r"^\d{4}/\d{1,2}/\d{1,2}" + _CLOCK, ("y/M/d" + _READ_CLOCK,)),
     (r"^\d{1,2}/\d{1,2}/\d{4}" + _CLOCK, ("M/d/y" + _READ_CLOCK, "d/M/y" + _READ_CLOCK)),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]$", ("M/d/y h:mm[:ss] a", "d/M/y h:mm[:ss] a")),
+    (r"^\d{1,2}/\d{1,2}/\d{2}" + _CLOCK, ("M/d/yy" + _READ_CLOCK, "d/M/yy" + _READ_CLOCK)),
+    (r"^\d{1,2}/\d{1,2}/\d{4}" + _HALF_DAY, ("M/d/y" + _READ_HALF_DAY, "d/M/y" + _READ_HALF_DAY)),
+    (r"^\d{1,2}/\d{1,2}/\d{2}" + _HALF_DAY, ("M/d/yy" + _READ_HALF_DAY, "d/M/yy" + _READ_HALF_DAY)),
+    (r"^\d{4}\.\d{1,2}\.\d{1,2}" + _CLOCK, ("y.M.d" + _READ_CLOCK,)),
     (r"^\d{1,2}-\d{1,2}-\d{4}" + _CLOCK, ("M-d-y" + _READ_CLOCK, "d-M-y" + _READ_CLOCK)),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}" + _CLOCK, ("d.M.y" + _READ_CLOCK,)),
     (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2} [+-]\d{4}$", ("d MMM y H:mm:ss xx",)),
@@ -31,6 +36,9 @@ _SHAPES = (
     (r"^\d{1,2} [A-Za-z]{4,9} \d{4}" + _CLOCK, ("d MMMM y" + _READ_CLOCK,)),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}" + _CLOCK, ("MMM d, y" + _READ_CLOCK,)),
     (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}" + _CLOCK, ("MMMM d, y" + _READ_CLOCK,)),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4}" + _HALF_DAY, ("MMM d[,] y" + _READ_HALF_DAY,)),
+    (r"^[A-Za-z]{4,9} \d{1,2},? \d{4}" + _HALF_DAY, ("MMMM d[,] y" + _READ_HALF_DAY,)),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}" + _CLOCK, ("MMM d y" + _READ_CLOCK,)),
     (r"^[A-Za-z]{3} \d{1,2} \d{1,2}:\d{2}:\d{2} \d{4}$", ("MMM d H:mm:ss y",)),
 )
 _ISO_SHAPE = r"^\d{4}(-\d|$)"
@@ -46,13 +54,27 @@ def parse_text_timestamp(text: Column) -> Column:
     text = F.trim(text)
     is_iso = text.rlike(_ISO_SHAPE)
     # The usual case is decided by one test and one cast.
-    parsed = F.when(is_iso, F.coalesce(text.try_cast("timestamp"), _spaced_offset(text).try_cast("timestamp")))
-    other = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), _UTC_NAME, " +0000")
+    parsed = F.when(
+        is_iso,
+        F.coalesce(
+            text.try_cast("timestamp"),
+            _spaced_offset(text).try_cast("timestamp"),
+            # A comma before the fraction of a second, and half days.
+            F.when(text.contains(","), F.regexp_replace(text, r"(:\d{2}),(\d{1,9})", "$1.$2").try_cast("timestamp")),
+            F.when(text.rlike(r"[AaPp][Mm]$"), F.try_to_timestamp(_spaced_half_day(text), F.lit("y-M-d" + _READ_HALF_DAY))),
+        ),
+    )
+    other = F.regexp_replace(F.regexp_replace(_spaced_half_day(text), _WEEKDAY, ""), _UTC_NAME, " +0000")
     for shape, patterns in _SHAPES:
         parsed = parsed.when(other.rlike(shape), F.coalesce(*(F.try_to_timestamp(other, F.lit(p)) for p in patterns)))
     return parsed
 
 
+def _spaced_half_day(text: Column) -> Column:
+    """``10:00PM`` as ``10:00 PM``."""
+    return F.regexp_replace(text, r"(\d)([AaPp][Mm])$", "$1 $2")
+
+
 def _spaced_offset(text: Column) -> Column:
     """``... +0300`` as ``...+03:00``, and seconds where a time with an offset has none."""
     spaced = F.regexp_replace(text, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2")

@@ -75,7 +75,7 @@ BUILT_IN_SPECS: dict[str, CorpusSpec] = {
     for spec in (
         CorpusSpec(
             name="conti",
-            display_name="Conti Ransomware Leaks (2022)",
+            display_name="Conti chats, leaked 2022",
             formats=("json", "csv"),
             column_aliases={
                 "msg_id": ("id", "message_id", "msg_id", "ID"),
@@ -89,7 +89,7 @@ BUILT_IN_SPECS: dict[str, CorpusSpec] = {
         ),
         CorpusSpec(
             name="babuk",
-            display_name="Babuk Ransomware Leaks (2021)",
+            display_name="Babuk files, leaked 2021",
             formats=("json", "csv", "txt"),
             scan_text=True,
             column_aliases={
@@ -104,7 +104,7 @@ BUILT_IN_SPECS: dict[str, CorpusSpec] = {
         ),
         CorpusSpec(
             name="black_basta",
-            display_name="Black Basta Chat Leaks (2024)",
+            display_name="Black Basta rooms",
             # The event export exists as JSON only.
             formats=("json",),
             column_aliases={
@@ -123,7 +123,7 @@ BUILT_IN_SPECS: dict[str, CorpusSpec] = {
         ),
         CorpusSpec(
             name="lockbit",
-            display_name="LockBit Leak Corpus",
+            display_name="LockBit tickets and messages",
             formats=("json", "csv"),
             column_aliases={
                 "msg_id": ("id", "message_id", "ticket_id"),
@@ -140,7 +140,7 @@ BUILT_IN_SPECS: dict[str, CorpusSpec] = {
         ),
         CorpusSpec(
             name="hack_forums",
-            display_name="Hack Forums Academic Dataset (Portnoff et al. 2017)",
+            display_name="Hack Forums posts",
             formats=("csv", "json"),
             column_aliases={
                 "msg_id": ("post_id", "id"),
@@ -154,7 +154,7 @@ BUILT_IN_SPECS: dict[str, CorpusSpec] = {
         ),
         CorpusSpec(
             name="custom",
-            display_name="Custom Corpus (user-defined)",
+            display_name="A corpus of your own",
             formats=("json", "csv", "txt"),
             scan_text=True,
             column_aliases={

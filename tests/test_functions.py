@@ -89,6 +89,19 @@ def test_timestamps(spark):
     assert apply(spark, cases, timestamps.parse_timestamp) == list(cases.values())
 
 
+def test_timestamps_of_other_programs(spark):
+    day = dt.datetime(2021, 3, 1)
+    ten, evening = day.replace(hour=10), day.replace(hour=22)
+    cases = {
+        "3/1/21 10:00": ten, "3/1/21": day, "3/1/21 10:00 PM": evening, "25/1/21 10:00": dt.datetime(2021, 1, 25, 10), "2021.03.01 10:00": ten, "2021.3.1": day,
+        "2021-03-01 10:00:00,123": ten.replace(microsecond=123_000), "2021-03-01T10:00:00,5Z": ten.replace(microsecond=500_000),
+        "2021-03-01 10:00 PM": evening, "2021-03-01 10:00:00pm": evening, "Mar 1 2021 10:00AM": ten, "Mar 1 2021 10:00": ten,
+        "March 1, 2021 10:00 PM": evening, "Mar 1, 2021 12:30 AM": day.replace(minute=30), "Mon, Mar 1, 2021 10:00 pm": evening,
+        "3/1/2021 10:00PM": evening, "2021-03-01 22:00 PM": None, "Mar 32 2021 10:00AM": None, "2021-03-01, later": None,
+    }
+    assert apply(spark, cases, timestamps.parse_timestamp) == list(cases.values())
+
+
 def test_languages(spark):
     cases = {
         "это русский текст": "ru", "це український текст ї": "uk", "the cat is on the table": "en",
