@@ -128,7 +128,9 @@ def exploration_dedup(rows: DataFrame, position: Sequence[str]) -> DataFrame:
     """
     any_id = rows.select(F.coalesce(F.bool_or(F.col("msg_id").isNotNull()), F.lit(False))).scalar()
     content = [name for name in rows.columns if name not in position]
-    whole_row = F.struct(*content)
+    # 256 bits stand for the row, so that rows are not shuffled and sorted by all they hold.
+    as_text = F.struct(*[F.col(f"`{name}`").cast("string").alias(name) for name in content])
+    whole_row = F.sha2(F.to_json(as_text, {"ignoreNullFields": "false"}), 256)
     own_place = F.struct(*position)
     keyed = (
         rows.withColumn("_by_id", F.when(any_id, F.col("msg_id")))
