@@ -10,11 +10,13 @@ from chatseam.functions.checksums import base58check, bech32, mixed_case
 from chatseam.functions.text import tokens
 from chatseam.operators import actors as A
 from chatseam.operators import clean as C
+from chatseam.operators import density as D
 from chatseam.operators import explore as E
 from chatseam.operators import indicators as I
 from chatseam.operators import search as S
 from chatseam.operators import similarity as V
 from chatseam.operators import terms as W
+from chatseam.operators.neighbours import neighbour_lists
 from chatseam.operators.summary import catalog_counts
 from chatseam.plans import sql
 from chatseam.plans import tables as T
@@ -417,15 +419,20 @@ FROM embeddings JOIN t ON t.technique = label
 """
 
 
+def _label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.centroids(T.table(spark, sf_dir, "embeddings").withColumnRenamed("label", "technique"), "technique")
+
+
+def drawn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(vec_id, embedding)`` drawn towards the means of the labels."""
+    mean = _label_means(spark, sf_dir).select(F.col("technique").alias("label"), F.col("embedding").alias("mean"))
+    pulled = F.zip_with("embedding", "mean", lambda x, m: x.cast("double") + _PULL * (F.col("vec_id") % 4) * m)
+    return T.table(spark, sf_dir, "embeddings").join(mean, "label").select("vec_id", pulled.alias("embedding"))
+
+
 def _techniques(spark: SparkSession, sf_dir: str, threshold: float, drawn: bool = False) -> DataFrame:
-    vectors = T.table(spark, sf_dir, "embeddings")
-    targets = V.centroids(vectors.withColumnRenamed("label", "technique"), "technique")
-    if drawn:
-        mean = targets.select(F.col("technique").alias("label"), F.col("embedding").alias("mean"))
-        pulled = F.zip_with(
-            "embedding", "mean", lambda x, m: x.cast("double") + _PULL * (F.col("vec_id") % 4) * m
-        )
-        vectors = vectors.join(mean, "label").select("vec_id", pulled.alias("embedding"))
+    vectors = drawn_vectors(spark, sf_dir) if drawn else T.table(spark, sf_dir, "embeddings")
+    targets = _label_means(spark, sf_dir)
     found = V.nearest_targets(vectors, targets, "vec_id", "technique", threshold=threshold)
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -475,6 +482,48 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.cluster(reduced, vector="reduced", k=10, min_cluster_size=30).select("vec_id", "topic")
 
 
+_NEIGHBOURS, _SAMPLES, _CLUSTER_SIZE = 10, 5, 10
+_LISTS = f"""
+WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+     d AS (SELECT a.id, b.id AS neighbour, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.id <> b.id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS n FROM d),
+     l AS (SELECT id, neighbour, distance, n FROM r WHERE n <= {_NEIGHBOURS})
+"""
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_lists(T.table(spark, sf_dir, "embeddings"), "vec_id", k=_NEIGHBOURS)
+
+
+@query("neighbour_lists", _LISTS + "SELECT id, neighbour, round(distance, 6) AS distance FROM l")
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_lists(spark, sf_dir), "distance")
+
+
+@query(
+    "mutual_reachability",
+    _LISTS
+    + f""",
+     c AS (SELECT id, distance AS core FROM l WHERE n = {_SAMPLES})
+SELECT least(l.id, neighbour) AS a, greatest(l.id, neighbour) AS b,
+       round(min(greatest(distance, c.core, o.core)), 6) AS weight
+FROM l JOIN c ON c.id = l.id JOIN c o ON o.id = neighbour GROUP BY ALL
+""",
+)
+def mutual_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(D.mutual_reachability(_lists(spark, sf_dir), _SAMPLES), "weight")
+
+
+@query("density_clusters")
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The given vectors as they are hold no denser places.
+    vectors = drawn_vectors(spark, sf_dir)
+    reduced = V.reduce_dimensions(vectors, k=5).select("vec_id", "reduced")
+    lists = neighbour_lists(reduced, "vec_id", "reduced", _NEIGHBOURS)
+    found = D.density_clusters(vectors.select(F.col("vec_id").alias("id")), D.mutual_reachability(lists, _SAMPLES), _CLUSTER_SIZE)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 # What has no SQL equivalent still has facts that must hold, whatever the fit finds.
 
 

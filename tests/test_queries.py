@@ -27,7 +27,7 @@ def test_matches_sql(spark, connection, name):
 def test_queries_without_sql_return_one_row_per_input(spark):
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
     vectors = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").count()
-    expected = {"hashed_tfidf": documents, "reduced_vectors": vectors, "clusters": vectors}
+    expected = {"hashed_tfidf": documents, "reduced_vectors": vectors, "clusters": vectors, "density_clusters": vectors}
     for name, rows in expected.items():
         assert QUERIES[name](spark, SF_DIR).count() == rows
     assert set(QUERIES) - set(ORACLES) == set(expected)
