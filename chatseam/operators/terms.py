@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chatseam.functions.text import tokens, with_bigrams
 
-# Parts into which the rows of one term are split.
+# Parts into which the rows of one term are split; a power of two.
 SALTS = 64
 
 
@@ -37,6 +37,26 @@ def document_frequencies(
     return counted.where(F.col("documents") >= min_df)
 
 
+def counted(words: Column) -> Column:
+    """``(term, n)`` of an array, counted within the row: sorted, equal words lie side by side."""
+
+    def runs(found: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(found))
+        starts = F.filter(places, lambda at: (at == 1) | (F.element_at(found, at) != F.try_element_at(found, F.greatest(at - 1, F.lit(1)))))
+        return F.transform(F.array(starts), lambda begins: _lengths(found, begins))[0]
+
+    def _lengths(found: Column, begins: Column) -> Column:
+        ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(found) + 1))
+        return F.zip_with(
+            begins, ends, lambda at, end: F.struct(F.element_at(found, at).alias("term"), (end - at).cast("bigint").alias("n"))
+        )
+
+    # Empty arrays go first, as a sequence from 1 to 0 would count down. The sorted words
+    # become a lambda variable, so that they are cut out of the text and sorted once.
+    present = F.filter(F.array(F.array_sort(words)), lambda found: F.size(found) > 0)
+    return F.flatten(F.transform(present, runs))
+
+
 def term_counts(
     documents: DataFrame,
     key: str = "message_id",
@@ -44,9 +64,21 @@ def term_counts(
     stop_words: Iterable[str] = (),
     bigrams: bool = True,
 ) -> DataFrame:
-    """``(key, term, n)``. A document lies in one task, which combines its terms before the shuffle."""
-    exploded = documents.select(key, F.explode(terms(F.col(text), stop_words, bigrams)).alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    """``(key, term, n)``, keys that several documents share taken together.
+
+    Each document counts its terms within its row. The rows are shuffled once, by term and one of ``SALTS`` parts of the
+    keys; what groups by key and term, or by term and part, needs no further shuffle.
+    """
+    rows = documents.select(key, F.inline(counted(terms(F.col(text), stop_words, bigrams))))
+    return _combined(rows, key).select(key, "term", "n")
+
+
+def _combined(rows: DataFrame, key: str) -> DataFrame:
+    # Neither key can be null here. Else a join would add that as a filter to its use of the rows, and they
+    # would be shuffled once for each use.
+    salted = rows.where(F.col("term").isNotNull()).withColumn("_salt", F.xxhash64(key).bitwiseAND(F.lit(SALTS - 1)))
+    parts = salted.repartition("term", "_salt")
+    return parts.groupBy(key, "term", "_salt").agg(F.sum("n").alias("n"))
 
 
 def vocabulary_counts(
@@ -62,8 +94,8 @@ def vocabulary_counts(
     A term of every document has as many rows as there are documents. So terms are counted and
     joined in ``SALTS`` parts of the documents; only the parts' totals meet per term.
     """
-    counts = term_counts(documents, key, text, stop_words, bigrams)
-    counts = counts.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    rows = documents.select(key, F.inline(counted(terms(F.col(text), stop_words, bigrams))))
+    counts = _combined(rows, key)
     # Reading n here too keeps both uses of the counts alike, so that the planner
     # shuffles them once.
     parts = counts.groupBy("term", "_salt").agg(F.count_if(F.col("n") > 0).alias("_df"))

@@ -439,3 +439,13 @@ def test_a_failed_write_keeps_what_was_there(spark, tmp_path):
     parquet.write_parquet(spark.read.parquet(path).where("id > 0"), path)
     assert spark.read.parquet(path).count() == 2
     assert [entry.name for entry in tmp_path.iterdir()] == ["table"]
+
+
+def test_term_counts_within_rows_and_over_rows_of_one_key(spark):
+    rows = [("a", "red blue red"), ("a", "red"), ("b", ""), ("c", None), (None, "blue blue"), ("d", "x " * 2000 + "red")]
+    counts = terms.term_counts(frame(spark, rows, "id string, raw_text string"), "id", bigrams=False)
+    # Before a run the plan is there once; after it the initial and the final one are.
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    expected = {("a", "red"): 3, ("a", "blue"): 1, (None, "blue"): 2, ("d", "red"): 1}
+    assert {(r.id, r.term): r.n for r in counts.collect() if r.term != "x"} == expected
