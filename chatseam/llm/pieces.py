@@ -1,17 +1,16 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into units that no piece of the table crosses. Units become rows: their bounded-length
-substrings are exploded, an equi-join with the piece table leaves the edges of the lattice, and a
-fold over a unit's edges keeps the best path to every place (Viterbi). Units that are frequent are
-encoded first and their table, of bounded size, is broadcast; documents keep references to it, and
-only their rarer units travel: to the lattice, and back as pieces.
+Texts are gathered in chunks. A chunk keeps each word once, and words are cut where no piece of the
+table can cross; the stretches between cuts, each once per chunk, travel by hash. There their
+bounded-length substrings are exploded, an equi-join with the piece table leaves the edges of the
+lattice, and a fold over a stretch's edges keeps the best path to every place (Viterbi). Pieces go
+back to the chunks, whose documents are lists of references to words.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -19,6 +18,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,18 +26,16 @@ from chatseam.llm.common import small_batches, stored, table
 from chatseam.llm.registry import query
 
 MARK = "▁"
-LONGEST_UNIT = 64
-LAST = 2**63 - 1
+LONGEST_STRETCH = 64
+CHUNK = 1 << 24
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
-_LETTERS, _OTHERS = r"[^\W\d_]", r"(?:[^\w \n]|[\d_])"
-
 
 @dataclass(frozen=True)
 class Pieces:
-    """``rows``: piece, id, score. ``first_byte``: the id of byte 0; the others follow."""
+    """``rows``: piece (with a space for the mark), id, score in millionths. ``first_byte``: the id of byte 0; the others follow."""
 
-    rows: tuple[tuple[str, int, float], ...]
+    rows: tuple[tuple[str, int, int], ...]
     first_byte: int
     size: int
 
@@ -46,25 +44,60 @@ class Pieces:
         return max(len(piece) for piece, _, _ in self.rows)
 
     @property
-    def unknown(self) -> float:
+    def unknown(self) -> int:
         """The score of a character that has no piece and is spelt in bytes."""
-        return min(score for _, _, score in self.rows) - 10.0
+        return min(score for _, _, score in self.rows) - 10_000_000
 
     def texts(self) -> list[bytes]:
-        """What each id stands for; the mark is a space."""
+        """What each id stands for."""
         out = [b""] * self.size
         for piece, number, _ in self.rows:
-            out[number] = piece.replace(MARK, " ").encode()
+            out[number] = piece.encode()
         for byte in range(256):
             out[self.first_byte + byte] = bytes([byte])
         return out
 
-    def unit_pattern(self) -> str:
-        """Units: a space with the letters or other characters after it, or a line end. Where pieces mix them, up to the next space."""
-        inner = [piece.removeprefix(MARK) for piece, _, _ in self.rows]
-        apart = all(re.fullmatch(f"{_LETTERS}*|{_OTHERS}*", piece) for piece in inner)
-        kinds = (_LETTERS, _OTHERS) if apart else (r"[^ \n]",)
-        return "|".join([*(f" ?{kind}{{1,{LONGEST_UNIT}}}" for kind in kinds), " ", r"\n"])
+
+class Cutter:
+    """Cuts words where no piece can cross.
+
+    A piece over the place between b and c in a word with a, b, c, d is ``bc`` itself or holds ``abc`` or ``bcd``.
+    Both questions go to tables of hashes: a collision leaves a place uncut, which changes no result.
+    """
+
+    BITS = 22
+
+    def __init__(self, pieces: Pieces):
+        grams = [{p for p, _, _ in pieces.rows if len(p) == 2}, {p[k : k + 3] for p, _, _ in pieces.rows for k in range(len(p) - 2)}]
+        self.pairs, self.triples = (np.zeros(1 << self.BITS, dtype=bool) for _ in grams)
+        for known, found in zip((self.pairs, self.triples), grams, strict=True):
+            if found:
+                known[self.hashes(*np.array([[ord(c) for c in gram] for gram in sorted(found)], np.uint32).T)] = True
+
+    def hashes(self, *characters: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(characters[0]), dtype=np.uint32)
+        for c in characters:
+            out = (out ^ c) * np.uint32(0x9E3779B1)
+            out ^= out >> np.uint32(15)
+        return out & np.uint32((1 << self.BITS) - 1)
+
+    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The stretches of all words one after the other, and how many each word has. No word is empty."""
+        whole = "".join(words)
+        codes = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+        first = np.cumsum([0, *map(len, words)])[:-1]
+        starts = np.zeros(len(codes) + 1, dtype=bool)
+        starts[first] = starts[-1] = True
+        crossed = np.zeros(len(codes), dtype=bool)
+        if len(codes) > 1:
+            crossed[1:] = self.pairs[self.hashes(codes[:-1], codes[1:])]
+        if len(codes) > 2:
+            held = self.triples[self.hashes(codes[:-2], codes[1:-1], codes[2:])] & ~starts[1:-2] & ~starts[2:-1]
+            crossed[1:-1] |= held
+            crossed[2:] |= held
+        cuts = np.flatnonzero(starts[:-1] | ~crossed)
+        ends = np.r_[cuts[1:], len(codes)]
+        return [whole[a:b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], np.diff(np.r_[np.searchsorted(cuts, first), len(cuts)])
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -96,31 +129,34 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 def read_pieces(path: str = MODEL) -> Pieces:
     """Read a model file. Its order of merges is taken as a ranking by frequency: scores are log chances by Zipf's law.
 
-    Pieces with marks inside (runs of spaces) are left out: every space is a unit of its own.
+    Scores are whole millionths, so that sums are exact and ties are ties. Pieces with marks inside (runs of spaces) are
+    left out: every space starts a word.
     """
     with open(path, "rb") as file:
         entries = [dict(_fields(value)) for field, value in _fields(file.read()) if field == 1]
     normal = [(e[1].decode(), k) for k, e in enumerate(entries) if e.get(3, 1) == 1]
     first_byte = next(k for k, e in enumerate(entries) if e.get(3, 1) == 6)
     total = math.log(sum(1 / (r + 1) for r in range(len(normal))))
-    rows = [(p, k, -math.log(rank + 1) - total) for rank, (p, k) in enumerate(normal) if p and MARK not in p[1:]]
+    rows = [
+        (p.replace(MARK, " "), k, round(-1e6 * (math.log(rank + 1) + total)))
+        for rank, (p, k) in enumerate(normal)
+        if p and MARK not in p[1:] and " " not in p
+    ]
     return Pieces(tuple(rows), first_byte, len(entries))
 
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``unit, ids`` of distinct ``unit`` strings, partitioned by unit if ``units`` is.
+    """``bucket, unit, ids`` of distinct ``bucket, unit``, without a shuffle if ``units`` is partitioned by bucket.
 
-    The piece table is a model's vocabulary, some ten thousand rows. A unit has at most
-    LONGEST_UNIT times the longest piece substrings. Of equal paths the one whose last piece starts first wins.
+    The piece table is a model's vocabulary, some ten thousand rows. A unit of n characters has at most
+    n times the longest piece substrings. Of equal paths the one whose last piece starts first wins.
     """
     spark = units.sparkSession
-    vocabulary = F.broadcast(spark.createDataFrame(list(pieces.rows), "piece string, id int, score double"))
-    starts = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
+    vocabulary = F.broadcast(spark.createDataFrame(list(pieces.rows), "piece string, id int, score long"))
+    starts = units.select("bucket", "unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
     room = F.least(F.lit(pieces.longest), F.length("unit") - F.col("at") + 1)
-    spans = starts.select("unit", "at", F.explode(F.sequence(F.lit(1), room)).alias("size"))
-    part = F.substring(F.col("unit"), F.col("at"), F.col("size"))
-    marked = F.when(part.contains(MARK), None).when(F.col("at") == 1, F.regexp_replace(part, "^ ", MARK)).otherwise(part)
-    edges = spans.withColumn("part", marked).join(vocabulary, F.col("part") == F.col("piece"), "left")
+    spans = starts.select("bucket", "unit", "at", F.explode(F.sequence(F.lit(1), room)).alias("size"))
+    edges = spans.withColumn("part", F.substring(F.col("unit"), F.col("at"), F.col("size"))).join(vocabulary, F.col("part") == F.col("piece"), "left")
     edges = edges.where(F.col("id").isNotNull() | (F.col("size") == 1))
     edge = F.struct(
         (F.col("at") + F.col("size") - 1).alias("end"),
@@ -128,9 +164,9 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
         F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
         F.coalesce("id", F.lit(-1)).alias("id"),
     )
-    lattice = edges.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    step = "struct<score: double, start: int, id: int>"
-    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id"))).cast(f"array<{step}>")
+    lattice = edges.groupBy("bucket", "unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    step = "struct<score: long, start: int, id: int>"
+    origin = F.array(F.struct(F.lit(0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id"))).cast(f"array<{step}>")
 
     def reach(best, e):
         score = F.get(best, e["start"])["score"] + e["score"]
@@ -155,139 +191,190 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
 
     end = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
     return (
-        lattice.select("unit", F.aggregate("edges", origin, reach).alias("best"))
-        .select("unit", F.aggregate(F.sequence(F.lit(1), F.size("best")), end, back)["ids"].alias("ids"))
+        lattice.select("bucket", "unit", F.aggregate("edges", origin, reach).alias("best"))
+        .select("bucket", "unit", F.aggregate(F.sequence(F.lit(1), F.size("best")), end, back)["ids"].alias("ids"))
     )
 
 
-def encode(documents: DataFrame, model: str = MODEL, frequent: int = 500_000) -> DataFrame:
+def fold_long(stretch: str, pieces: dict[str, tuple[int, int]], longest: int, unknown: int, first_byte: int) -> list[int]:
+    """The same fold for one stretch of any length, in time and memory proportional to it."""
+    best, back = [0], [(0, -1)]
+    for end in range(1, len(stretch) + 1):
+        top = None
+        for start in range(max(0, end - longest), end):
+            piece = pieces.get(stretch[start:end])
+            if piece is None:
+                if end - start > 1:
+                    continue
+                piece = (-1, unknown)
+            score = best[start] + piece[1]
+            if top is None or score > top[0]:
+                top = (score, start, piece[0])
+        best.append(top[0])
+        back.append(top[1:])
+    ids, end = [], len(stretch)
+    while end:
+        start, number = back[end]
+        ids.append([number] if number >= 0 else [first_byte + byte for byte in stretch[start:end].encode()])
+        end = start
+    return [i for part in reversed(ids) for i in part]
+
+
+def press(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers under 2**32, byte plane by byte plane: small numbers leave the higher planes empty."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpress(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each of many runs, one run after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, n_pieces, ids, round_trip`` of every row.
 
     ``round_trip``: decoding ``ids`` gives the text back, byte for byte. Null and empty texts have no pieces.
-    A text gets one space in front, as the table's pieces expect. Very long words are units of LONGEST_UNIT
-    characters. Characters without a piece are spelt in bytes. Repeated rows and null ids
-    each come back. An empty table gives an empty result.
+    A text gets one space in front, as the table's pieces expect. Characters without a piece are spelt in bytes.
+    Words of any length are encoded whole: the lattice takes stretches of up to LONGEST_STRETCH characters, a longer
+    one is folded where its chunk is made. Repeated rows and null ids each come back, other columns don't.
+    An empty table gives an empty result.
 
-    ``frequent`` bounds the table that is broadcast. It only decides which units travel: their
-    pieces come from the same lattice either way.
+    ``chunk``: characters a chunk gathers; a longer text is a chunk by itself. It changes no result.
     """
     spark = documents.sparkSession
     small_batches(spark)
     pieces = read_pieces(model)
-    pattern, texts_of = pieces.unit_pattern(), pieces.texts()
-    rows = documents.select("doc_id", "text").select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("_id"), F.xxhash64("text").alias("_text_id"), "text", "doc_id"
-    )
+    texts_of, kind = pieces.texts(), dict(documents.dtypes)["doc_id"]
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 8 * partitions
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units that come twice or more in about 32 MB of text; the others are hardly frequent ones."""
-        cut, counts, size = re.compile(pattern).findall, Counter(), 0
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, by_text = Cutter(pieces), {p: (k, score) for p, k, score in pieces.rows}
+        longest, unknown = pieces.longest, pieces.unknown
+        made = TaskContext.get().partitionId() << 32
 
-        def flush():
-            often = [(u, n) for u, n in counts.items() if n > 1]
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], ["unit", "n"])
+        class Places(dict):
+            def __missing__(self, key):
+                place = self[key] = len(self)
+                return place
 
+        def flush():
+            """The words by falling use, so that references are small; the stretches by bucket, those too long for the lattice last."""
+            nonlocal made
+            every = np.concatenate(refs)
+            order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            keys = list(words)
+            inner, per_word = cutter.cut([k if k[:1] == "\n" else " " + k for k in (keys[i] for i in order.tolist())]) if keys else ([], np.empty(0, np.int64))
+            distinct = sorted(set(inner), key=lambda x: (zlib.crc32(x.encode()) % buckets if len(x) <= LONGEST_STRETCH else buckets, x))
+            place = {x: k for k, x in enumerate(distinct)}
+            dealt, own = {}, []
+            for x in distinct:
+                if len(x) > LONGEST_STRETCH:
+                    own.append(fold_long(x, by_text, longest, unknown, pieces.first_byte))
+                else:
+                    dealt.setdefault(zlib.crc32(x.encode()) % buckets, []).append(x)
+            row = {
+                "chunk": made,
+                "doc_ids": ids,
+                "digests": digests,
+                "refs": press(rank[every]),
+                "per_doc": press(np.array([len(r) for r in refs])),
+                "inner": press(np.fromiter(map(place.__getitem__, inner), np.int64, len(inner))),
+                "per_word": press(per_word),
+                "own": press(np.array([i for x in own for i in x], np.int64)),
+                "per_own": press(np.array([len(x) for x in own], np.int64)),
+                "dealt": [{"bucket": b, "units": u} for b, u in dealt.items()],
+            }
+            made += 1
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        words, ids, digests, refs, size, schema = Places(), [], [], [], 0, None
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(cut(" " + text))
-                    size += len(text)
-            if size > 1 << 25:
-                yield flush()
-                counts, size = Counter(), 0
-        yield flush()
-
-    counted = rows.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    often = stored(counted.orderBy(F.desc("n"), "unit").limit(frequent).select("unit", "n"))
-    known = stored(encode_units(often.select("unit").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "unit"), pieces).join(often, "unit")).toArrow()
-    order = np.argsort(-known.column("n").to_numpy(), kind="stable")
-    ids = known.column("ids").combine_chunks().take(pa.array(order))
-    units = known.column("unit").combine_chunks().take(pa.array(order)).to_pylist()
-    n_known = len(units)
-    lexicon = spark.sparkContext.broadcast({u: k for k, u in enumerate(units)})
-    flat = spark.sparkContext.broadcast((ids.flatten().to_numpy().astype(np.uint16 if pieces.size < 1 << 16 else np.int32), ids.offsets.to_numpy()))
-
-    def cut_up(text: str, cut) -> tuple[list[int], dict[str, int]]:
-        """References of all units, and the units that are not in the lexicon by their reference."""
-        found, rare = [], {}
-        get = lexicon.value.get
-        for unit in cut(" " + text) if text else ():
-            k = get(unit)
-            found.append(rare.setdefault(unit, n_known + len(rare)) if k is None else k)
-        return found, rare
-
-    def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, press = re.compile(pattern).findall, zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            packed, digests = [], []
-            for text in batch.column(2).to_pylist():
-                packed.append(press.compress(np.array(cut_up(text or "", cut)[0], dtype=np.uint32).tobytes()))
-                digests.append(sha256((text or "").encode()).digest()[:16])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(packed, pa.binary()), pa.array(digests, pa.binary())],
-                ["_id", "_text_id", "doc_id", "packed", "digest"],
-            )
-
-    def rare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = re.compile(pattern).findall
-        for batch in batches:
-            owners, places, found = [], [], []
-            for owner, text in enumerate(batch.column(2).to_pylist()):
-                rare = cut_up(text or "", cut)[1]
-                owners += [owner] * len(rare)
-                places += range(len(rare))
-                found += rare
-            owner = pa.array(owners, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(places, pa.int32()), pa.array(found, pa.string())],
-                ["_id", "_text_id", "place", "unit"],
+            schema = schema or pa.schema(
+                [("chunk", pa.int64()), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("digests", pa.list_(pa.binary()))]
+                + [(name, pa.binary()) for name in ("refs", "per_doc", "inner", "per_word", "own", "per_own")]
+                + [("dealt", pa.list_(pa.struct([("bucket", pa.int32()), ("units", pa.list_(pa.string()))])))]
             )
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = text or ""
+                if ids and size + len(text) > chunk:
+                    yield flush()
+                    words, ids, digests, refs, size = Places(), [], [], [], 0
+                # A word has the space before it, unless it starts a line: then it has the line end.
+                found = text.replace("\n", " \n").split(" ") if text else []
+                refs.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                ids.append(doc_id)
+                digests.append(sha256(text.encode()).digest()[:16])
+                size += len(text)
+        if ids:
+            yield flush()
+
+    def hand_back(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        """The pieces of each chunk's stretches of one bucket, in the chunk's order."""
+        pieces_of = dict(zip(known.column("unit").to_pylist(), known.column("ids").to_pylist(), strict=True))
+        rows = []
+        for made, units in zip(asked.column("chunk").to_pylist(), asked.column("units").to_pylist(), strict=True):
+            own = [pieces_of[u] for u in units]
+            rows.append((made, press(np.array([len(x) for x in own])), press(np.array([i for x in own for i in x]))))
+        made, sizes, ids = zip(*rows, strict=True)
+        return pa.table([pa.array(made, pa.int64()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(sizes), pa.array(ids)], ["chunk", "bucket", "sizes", "ids"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, offsets = flat.value
-        for batch in batches:
-            all_ids, trips, counts = [], [], []
-            for packed, digest, rare in zip(*(batch.column(c).to_pylist() for c in ("packed", "digest", "rare")), strict=True):
-                refs = np.frombuffer(zstandard.decompress(packed), dtype=np.uint32).astype(np.int64)
-                own = [np.array(r["ids"], dtype=base.dtype) for r in sorted(rare or [], key=lambda r: r["place"])]
-                sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-                israre = refs >= n_known
-                begin, size = np.empty(len(refs), np.int64), np.empty(len(refs), np.int64)
-                k = refs[~israre]
-                begin[~israre], size[~israre] = offsets[k], offsets[k + 1] - offsets[k]
-                k = refs[israre] - n_known
-                begin[israre], size[israre] = (np.cumsum(sizes) - sizes)[k], sizes[k]
-                total = int(size.sum())
-                place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(total)
-                from_rare = np.repeat(israre, size)
-                out = np.empty(total, dtype=np.int32)
-                out[~from_rare] = base[place[~from_rare]]
-                if own:
-                    out[from_rare] = np.concatenate(own)[place[from_rare]]
-                decoded = b"".join([texts_of[i] for i in out.tolist()])[1:]
-                trips.append(sha256(decoded).digest()[:16] == digest)
-                all_ids.append(out)
-                counts.append(total)
-            ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
-            values = pa.array(np.concatenate(all_ids) if all_ids else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(trips)],
-                ["doc_id", "n_pieces", "ids", "round_trip"],
-            )
+        def both(index: np.ndarray, sizes: np.ndarray, values: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Runs of ``index`` (``per`` entries each) replaced by the values they stand for: sizes of the runs, values."""
+            begin = np.cumsum(sizes) - sizes
+            chosen = sizes[index]
+            ends = np.r_[0, np.cumsum(chosen)]
+            stop = np.cumsum(per)
+            return ends[stop] - ends[stop - per], values[ragged(begin[index], chosen)]
 
-    fields = "_id long, _text_id long"
-    # A lattice has some twenty times the bytes of its units, so there are more partitions than for a plain
-    # shuffle. Reading all columns lets both uses share it.
-    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    travelling = rows.mapInArrow(rare_units, f"{fields}, place int, unit string").where("unit is not null and _id is not null and _text_id is not null").repartition(partitions, "unit")
-    distinct = travelling.groupBy("unit").agg(F.max(F.struct("_id", "_text_id", "place")).alias("_any")).where("_any is not null")
-    table_ = encode_units(distinct.select("unit"), pieces)
-    rare = travelling.join(table_, "unit").groupBy("_id", "_text_id").agg(F.collect_set(F.struct("place", "ids")).alias("rare"))
-    kind = dict(documents.dtypes)["doc_id"]
-    packed = rows.mapInArrow(references, f"{fields}, doc_id {kind}, packed binary, digest binary")
-    return packed.join(rare, ["_id", "_text_id"], "left").mapInArrow(
-        assemble, f"doc_id {kind}, n_pieces long, ids array<int>, round_trip boolean"
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k] for name in batch.schema.names}
+                blob = {name: unpress(row[name].as_py()) for name in ("refs", "per_doc", "inner", "per_word", "own", "per_own")}
+                back = sorted(row["back"].as_py() or [], key=lambda x: x["bucket"])
+                sizes = np.concatenate([*(unpress(x["sizes"]) for x in back), blob["per_own"]])
+                values = np.concatenate([*(unpress(x["ids"]) for x in back), blob["own"]]).astype(np.int32)
+                word_sizes, word_values = both(blob["inner"], sizes, values, blob["per_word"])
+                digests = row["digests"].as_py()
+                doc_ids, stop = row["doc_ids"].values, np.cumsum(blob["per_doc"])
+                for a in range(0, len(digests), 1000):
+                    b = min(a + 1000, len(digests))
+                    per = blob["per_doc"][a:b]
+                    refs = blob["refs"][stop[a] - per[0] : stop[b - 1]]
+                    counts, out = both(refs, word_sizes, word_values, per)
+                    ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
+                    numbers = out.tolist()
+                    trips = [
+                        sha256(b"".join([texts_of[i] for i in numbers[x:y]])[1:]).digest()[:16] == d
+                        for x, y, d in zip(ends[:-1].tolist(), ends[1:].tolist(), digests[a:b], strict=True)
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [doc_ids.slice(a, b - a), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(out)), pa.array(trips)],
+                        ["doc_id", "n_pieces", "ids", "round_trip"],
+                    )
+
+    blobs = ", ".join(f"{name} binary" for name in ("refs", "per_doc", "inner", "per_word", "own", "per_own"))
+    chunks = stored(
+        documents.select("doc_id", "text").mapInArrow(
+            gather, f"chunk long, doc_ids array<{kind}>, digests array<binary>, {blobs}, dealt array<struct<bucket: int, units: array<string>>>"
+        )
+    )
+    asked = chunks.select("chunk", F.inline("dealt")).repartition(partitions, "bucket")
+    known = encode_units(asked.select("bucket", F.explode("units").alias("unit")).distinct(), pieces)
+    back = (
+        asked.groupBy("bucket").cogroup(known.withColumnRenamed("bucket", "of").groupBy("of")).applyInArrow(hand_back, "chunk long, bucket int, sizes binary, ids binary")
+        .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("back"))
     )
+    return chunks.drop("dealt").join(back, "chunk", "left").mapInArrow(assemble, f"doc_id {kind}, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -363,14 +363,13 @@ def test_distances_lose_no_pair_that_shares_a_block():
 
 def viterbi(unit, table):
     scores = {piece: (score, number) for piece, number, score in table.rows}
-    best = [(0.0, 0, [])]
+    best = [(0, 0, [])]
     for end in range(1, len(unit) + 1):
         choice = None
         for start in range(max(0, end - table.longest), end):
             part = unit[start:end]
-            name = None if pieces.MARK in part else pieces.MARK + part[1:] if start == 0 and part[0] == " " else part
-            if name in scores:
-                new = (best[start][0] + scores[name][0], start, [scores[name][1]])
+            if part in scores:
+                new = (best[start][0] + scores[part][0], start, [scores[part][1]])
             elif end - start == 1:
                 new = (best[start][0] + table.unknown, start, [table.first_byte + b for b in part.encode()])
             else:
@@ -384,22 +383,51 @@ def viterbi(unit, table):
     return ids
 
 
-@pytest.mark.parametrize("frequent", [1, 400_000])
-def test_pieces(clashing, no_documents, rows, frequent):
+@pytest.mark.parametrize("chunk", [1, 5_000, pieces.CHUNK])
+def test_pieces(clashing, no_documents, rows, chunk):
     table = pieces.read_pieces()
-    cut = re.compile(table.unit_pattern()).findall
     cache = {}
     want = Counter()
     for doc, text, *_ in rows:
-        units = cut(" " + text) if text else []
-        assert "".join(units) == (" " + text if text else "")
-        ids = [i for u in units for i in cache.setdefault(u, viterbi(u, table))]
+        words = re.findall(r" [^ ]*", " " + text) if text else []
+        ids = [i for w in words for i in cache.setdefault(w, viterbi(w, table))]
         want[doc, len(ids), hashlib.md5(str(ids).encode()).hexdigest(), True] += 1
-    encoded = pieces.encode(clashing, frequent=frequent).cache()
+    encoded = pieces.encode(clashing, chunk=chunk).cache()
     found = Counter((r.doc_id, r.n_pieces, hashlib.md5(str(r.ids).encode()).hexdigest(), r.round_trip) for r in encoded.collect())
     assert found == want
     assert counted(pieces.decode(encoded), "doc_id", "text") == Counter((r[0], r[1] or "") for r in rows)
-    assert pieces.encode(no_documents).count() == 0
+    assert pieces.encode(no_documents, chunk=chunk).count() == 0
+
+
+def test_pieces_of_long_words(spark):
+    """Words over the longest stretch are encoded whole: one letter repeated, syllables without a safe cut, line ends inside."""
+    table = pieces.read_pieces()
+    rng = random.Random(7)
+    syllables = ["the", "ing", "er", "ation", "an", "st", "on"]
+    texts = ["a" * n for n in (63, 64, 65, 128, 160, 200, 1000)] + ["".join(rng.choice(syllables) for _ in range(n)) for n in (20, 60, 300)]
+    texts += ["\n" + "x" * 70 + "\n\n" + "y" * 70, " \n ", "\n", " ", "  two  spaces ", "a\u2581b" * 40, "\U0001f600" * 90]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.ids, r.round_trip) for r in pieces.encode(frame).collect()}
+    assert found == {k: (viterbi(" " + text, table), True) for k, text in enumerate(texts)}
+
+
+def test_words_are_cut_where_no_piece_crosses(spark):
+    table = pieces.read_pieces()
+    names = [p for p, _, _ in table.rows]
+    rng = random.Random(3)
+    words = [rng.choice(["", " ", "\n"]) + "".join(rng.choice(names).strip() for _ in range(rng.randint(1, 4))) + rng.choice(["", "9", "é7", "\U0001f600"]) for _ in range(500)]
+    words = [w for w in words if w]
+    stretches, per = pieces.Cutter(table).cut(words)
+    at = 0
+    for word, n in zip(words, per.tolist(), strict=True):
+        parts = stretches[at : at + n]
+        at += n
+        assert "".join(parts) == word
+        cuts = set(np.cumsum([len(x) for x in parts])[:-1].tolist())
+        known = set(names)
+        crossed = {k for a in range(len(word)) for b in range(a + 2, min(len(word), a + table.longest) + 1) if word[a:b] in known for k in range(a + 1, b)}
+        assert not cuts & crossed
+    assert at == len(stretches) > len(words)
 
 
 def test_sharding(clashing, no_documents, rows):
