@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -363,15 +364,16 @@ def test_distances_lose_no_pair_that_shares_a_block():
 
 def viterbi(unit, table):
     scores = {piece: (score, number) for piece, number, score in table.rows}
+    longest, unknown = table.longest, table.unknown
     best = [(0, 0, [])]
     for end in range(1, len(unit) + 1):
         choice = None
-        for start in range(max(0, end - table.longest), end):
+        for start in range(max(0, end - longest), end):
             part = unit[start:end]
             if part in scores:
                 new = (best[start][0] + scores[part][0], start, [scores[part][1]])
             elif end - start == 1:
-                new = (best[start][0] + table.unknown, start, [table.first_byte + b for b in part.encode()])
+                new = (best[start][0] + unknown, start, [table.first_byte + b for b in part.encode()])
             else:
                 continue
             if choice is None or new[0] > choice[0]:
@@ -418,14 +420,13 @@ def test_words_are_cut_where_no_piece_crosses(spark):
     words = [rng.choice(["", " ", "\n"]) + "".join(rng.choice(names).strip() for _ in range(rng.randint(1, 4))) + rng.choice(["", "9", "é7", "\U0001f600"]) for _ in range(500)]
     words = [w for w in words if w]
     stretches, per = pieces.Cutter(table).cut(words)
-    at = 0
+    at, known, longest = 0, set(names), table.longest
     for word, n in zip(words, per.tolist(), strict=True):
         parts = stretches[at : at + n]
         at += n
         assert "".join(parts) == word
         cuts = set(np.cumsum([len(x) for x in parts])[:-1].tolist())
-        known = set(names)
-        crossed = {k for a in range(len(word)) for b in range(a + 2, min(len(word), a + table.longest) + 1) if word[a:b] in known for k in range(a + 1, b)}
+        crossed = {k for a in range(len(word)) for b in range(a + 2, min(len(word), a + longest) + 1) if word[a:b] in known for k in range(a + 1, b)}
         assert not cuts & crossed
     assert at == len(stretches) > len(words)
 
