@@ -242,7 +242,7 @@ def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Data
     ``round_trip``: decoding ``ids`` gives the text back, byte for byte. Null and empty texts have no pieces.
     A text gets one space in front, as the table's pieces expect. Characters without a piece are spelt in bytes.
     Words of any length are encoded whole: the lattice takes stretches of up to LONGEST_STRETCH characters, a longer
-    one is folded where its chunk is made. Repeated rows and null ids each come back, other columns don't.
+    one (or one with a zero character) is folded where its chunk is made. Repeated rows and null ids each come back, other columns don't.
     An empty table gives an empty result.
 
     ``chunk``: characters a chunk gathers; a longer text is a chunk by itself. It changes no result.
@@ -273,11 +273,12 @@ def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Data
             rank[order] = np.arange(len(words))
             keys = list(words)
             inner, per_word = cutter.cut([k if k[:1] == "\n" else " " + k for k in (keys[i] for i in order.tolist())]) if keys else ([], np.empty(0, np.int64))
-            distinct = sorted(set(inner), key=lambda x: (zlib.crc32(x.encode()) % buckets if len(x) <= LONGEST_STRETCH else buckets, x))
+            alone = {x for x in set(inner) if len(x) > LONGEST_STRETCH or "\0" in x}
+            distinct = sorted(set(inner), key=lambda x: (buckets if x in alone else zlib.crc32(x.encode()) % buckets, x))
             place = {x: k for k, x in enumerate(distinct)}
             dealt, own = {}, []
             for x in distinct:
-                if len(x) > LONGEST_STRETCH:
+                if x in alone:
                     own.append(fold_long(x, by_text, longest, unknown, pieces.first_byte))
                 else:
                     dealt.setdefault(zlib.crc32(x.encode()) % buckets, []).append(x)
@@ -291,7 +292,7 @@ def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Data
                 "per_word": press(per_word),
                 "own": press(np.array([i for x in own for i in x], np.int64)),
                 "per_own": press(np.array([len(x) for x in own], np.int64)),
-                "dealt": [{"bucket": b, "units": u} for b, u in dealt.items()],
+                "dealt": [{"bucket": b, "units": "\0".join(u)} for b, u in dealt.items()],
             }
             made += 1
             return pa.RecordBatch.from_pylist([row], schema=schema)
@@ -301,7 +302,7 @@ def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Data
             schema = schema or pa.schema(
                 [("chunk", pa.int64()), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("digests", pa.list_(pa.binary()))]
                 + [(name, pa.binary()) for name in ("refs", "per_doc", "inner", "per_word", "own", "per_own")]
-                + [("dealt", pa.list_(pa.struct([("bucket", pa.int32()), ("units", pa.list_(pa.string()))])))]
+                + [("dealt", pa.list_(pa.struct([("bucket", pa.int32()), ("units", pa.string())])))]
             )
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = text or ""
@@ -322,7 +323,7 @@ def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Data
         pieces_of = dict(zip(known.column("unit").to_pylist(), known.column("ids").to_pylist(), strict=True))
         rows = []
         for made, units in zip(asked.column("chunk").to_pylist(), asked.column("units").to_pylist(), strict=True):
-            own = [pieces_of[u] for u in units]
+            own = [pieces_of[u] for u in units.split("\0")]
             rows.append((made, press(np.array([len(x) for x in own])), press(np.array([i for x in own for i in x]))))
         made, sizes, ids = zip(*rows, strict=True)
         return pa.table([pa.array(made, pa.int64()), pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(sizes), pa.array(ids)], ["chunk", "bucket", "sizes", "ids"])
@@ -365,11 +366,13 @@ def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Data
     blobs = ", ".join(f"{name} binary" for name in ("refs", "per_doc", "inner", "per_word", "own", "per_own"))
     chunks = stored(
         documents.select("doc_id", "text").mapInArrow(
-            gather, f"chunk long, doc_ids array<{kind}>, digests array<binary>, {blobs}, dealt array<struct<bucket: int, units: array<string>>>"
+            gather, f"chunk long, doc_ids array<{kind}>, digests array<binary>, {blobs}, dealt array<struct<bucket: int, units: string>>"
         )
     )
     asked = chunks.select("chunk", F.inline("dealt")).repartition(partitions, "bucket")
-    known = encode_units(asked.select("bucket", F.explode("units").alias("unit")).distinct(), pieces)
+    # The aggregate needs every column of ``asked``, so that both uses share one shuffle.
+    units = asked.select("bucket", "chunk", F.explode(F.split("units", r"\x00")).alias("unit"))
+    known = encode_units(units.groupBy("bucket", "unit").agg(F.max("chunk").alias("last")).where("last is not null").select("bucket", "unit"), pieces)
     back = (
         asked.groupBy("bucket").cogroup(known.withColumnRenamed("bucket", "of").groupBy("of")).applyInArrow(hand_back, "chunk long, bucket int, sizes binary, ids binary")
         .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("back"))
