@@ -392,7 +392,8 @@ def test_pieces(clashing, no_documents, rows, chunk):
     want = Counter()
     for doc, text, *_ in rows:
         words = re.findall(r" [^ ]*", " " + text) if text else []
-        ids = [i for w in words for i in cache.setdefault(w, viterbi(w, table))]
+        cache.update({w: viterbi(w, table) for w in set(words) - cache.keys()})
+        ids = [i for w in words for i in cache[w]]
         want[doc, len(ids), hashlib.md5(str(ids).encode()).hexdigest(), True] += 1
     encoded = pieces.encode(clashing, chunk=chunk).cache()
     found = Counter((r.doc_id, r.n_pieces, hashlib.md5(str(r.ids).encode()).hexdigest(), r.round_trip) for r in encoded.collect())
