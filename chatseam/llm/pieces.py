@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatseam.llm.common import small_batches, stored, table
+from chatseam.llm.common import small_batches, stored_in_buckets, table
 from chatseam.llm.registry import query
 
 MARK = "▁"
@@ -364,10 +364,13 @@ def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Data
                     )
 
     blobs = ", ".join(f"{name} binary" for name in ("refs", "per_doc", "inner", "per_word", "own", "per_own"))
-    chunks = stored(
+    # In buckets, so that the chunks with their references stay where they are and only stretches and pieces travel.
+    chunks = stored_in_buckets(
         documents.select("doc_id", "text").mapInArrow(
             gather, f"chunk long, doc_ids array<{kind}>, digests array<binary>, {blobs}, dealt array<struct<bucket: int, units: string>>"
-        )
+        ),
+        "chunk",
+        partitions,
     )
     asked = chunks.select("chunk", F.inline("dealt")).repartition(partitions, "bucket")
     # The aggregate needs every column of ``asked``, so that both uses share one shuffle.
@@ -375,6 +378,7 @@ def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Data
     known = encode_units(units.groupBy("bucket", "unit").agg(F.max("chunk").alias("last")).where("last is not null").select("bucket", "unit"), pieces)
     back = (
         asked.groupBy("bucket").cogroup(known.withColumnRenamed("bucket", "of").groupBy("of")).applyInArrow(hand_back, "chunk long, bucket int, sizes binary, ids binary")
+        .repartition(partitions, "chunk")
         .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("back"))
     )
     return chunks.drop("dealt").join(back, "chunk", "left").mapInArrow(assemble, f"doc_id {kind}, n_pieces long, ids array<int>, round_trip boolean")
