@@ -17,6 +17,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -81,11 +82,8 @@ class Cutter:
             out ^= out >> np.uint32(15)
         return out & np.uint32((1 << self.BITS) - 1)
 
-    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
-        """The stretches of all words one after the other, and how many each word has. No word is empty."""
-        whole = "".join(words)
-        codes = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
-        first = np.cumsum([0, *map(len, words)])[:-1]
+    def cuts(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where stretches begin in the characters of all words, one after the other; ``first``: where words do."""
         starts = np.zeros(len(codes) + 1, dtype=bool)
         starts[first] = starts[-1] = True
         crossed = np.zeros(len(codes), dtype=bool)
@@ -95,9 +93,26 @@ class Cutter:
             held = self.triples[self.hashes(codes[:-2], codes[1:-1], codes[2:])] & ~starts[1:-2] & ~starts[2:-1]
             crossed[1:-1] |= held
             crossed[2:] |= held
-        cuts = np.flatnonzero(starts[:-1] | ~crossed)
-        ends = np.r_[cuts[1:], len(codes)]
-        return [whole[a:b] for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)], np.diff(np.r_[np.searchsorted(cuts, first), len(cuts)])
+        return np.flatnonzero(starts[:-1] | ~crossed)
+
+    def stretches(self, words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The stretches of all words one after the other, and how many each word has. No word is empty or null."""
+        if not len(words):
+            return words, np.empty(0, np.int64)
+        whole = "".join(words.to_pylist())
+        codes = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+        first = np.cumsum(np.r_[0, pc.utf8_length(words).to_numpy()])[:-1]
+        cuts = self.cuts(codes, first)
+        # Bytes before each character: the code point says how many it takes.
+        before = np.r_[0, np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)]
+        offsets = before[np.r_[cuts, len(codes)]]
+        inner = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
+        return inner, np.diff(np.r_[np.searchsorted(cuts, first), len(cuts)])
+
+    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The same for a list of words."""
+        inner, per_word = self.stretches(pa.array(words, pa.large_string()))
+        return inner.to_pylist(), per_word
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -259,45 +274,52 @@ def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Data
         longest, unknown = pieces.longest, pieces.unknown
         made = TaskContext.get().partitionId() << 32
 
-        class Places(dict):
-            def __missing__(self, key):
-                place = self[key] = len(self)
-                return place
-
         def flush():
             """The words by falling use, so that references are small; the stretches by bucket, those too long for the lattice last."""
             nonlocal made
-            every = np.concatenate(refs)
-            order = np.argsort(-np.bincount(every, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
-            keys = list(words)
-            inner, per_word = cutter.cut([k if k[:1] == "\n" else " " + k for k in (keys[i] for i in order.tolist())]) if keys else ([], np.empty(0, np.int64))
-            alone = {x for x in set(inner) if len(x) > LONGEST_STRETCH or "\0" in x}
-            distinct = sorted(set(inner), key=lambda x: (buckets if x in alone else zlib.crc32(x.encode()) % buckets, x))
-            place = {x: k for k, x in enumerate(distinct)}
-            dealt, own = {}, []
-            for x in distinct:
-                if x in alone:
-                    own.append(fold_long(x, by_text, longest, unknown, pieces.first_byte))
-                else:
-                    dealt.setdefault(zlib.crc32(x.encode()) % buckets, []).append(x)
+            # A word has the space before it, unless it starts a line: then it has the line end.
+            lines = pc.replace_substring(pa.array([text or None for text in texts], pa.large_string()), "\n", " \n")
+            texts.clear()
+            found = pc.split_pattern(lines, " ")
+            del lines
+            per_doc = press(pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+            coded = found.flatten().dictionary_encode()
+            del found
+            every = coded.indices.to_numpy()
+            order = np.argsort(-np.bincount(every, minlength=len(coded.dictionary)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            refs = press(rank[every])
+            words = coded.dictionary.take(pa.array(order))
+            del coded, every
+            empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+            words = pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(empty, words, space))
+            inner, per_word = cutter.stretches(words)
+            inner = inner.dictionary_encode()
+            alone = pc.or_(pc.greater(pc.utf8_length(inner.dictionary), LONGEST_STRETCH), pc.match_substring(inner.dictionary, "\0")).to_pylist()
+            of = np.array([buckets if a else zlib.crc32(x.encode()) % buckets for a, x in zip(alone, inner.dictionary.to_pylist(), strict=True)], np.int64)
+            by = pc.sort_indices(pa.table([of, inner.dictionary], ["bucket", "unit"]), [("bucket", "ascending"), ("unit", "ascending")]).to_numpy()
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            distinct = inner.dictionary.take(pa.array(by)).to_pylist()
+            starts = np.searchsorted(of[by], np.arange(buckets + 1)).tolist()
+            own = [fold_long(x, by_text, longest, unknown, pieces.first_byte) for x in distinct[starts[-1] :]]
             row = {
                 "chunk": made,
                 "doc_ids": ids,
                 "digests": digests,
-                "refs": press(rank[every]),
-                "per_doc": press(np.array([len(r) for r in refs])),
-                "inner": press(np.fromiter(map(place.__getitem__, inner), np.int64, len(inner))),
+                "refs": refs,
+                "per_doc": per_doc,
+                "inner": press(place[inner.indices.to_numpy()]),
                 "per_word": press(per_word),
                 "own": press(np.array([i for x in own for i in x], np.int64)),
                 "per_own": press(np.array([len(x) for x in own], np.int64)),
-                "dealt": [{"bucket": b, "units": "\0".join(u)} for b, u in dealt.items()],
+                "dealt": [{"bucket": k, "units": "\0".join(distinct[a:b])} for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if a < b],
             }
             made += 1
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        words, ids, digests, refs, size, schema = Places(), [], [], [], 0, None
+        ids, digests, texts, size, schema = [], [], [], 0, None
         for batch in batches:
             schema = schema or pa.schema(
                 [("chunk", pa.int64()), ("doc_ids", pa.list_(batch.schema.field(0).type)), ("digests", pa.list_(pa.binary()))]
@@ -308,15 +330,15 @@ def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Data
                 text = text or ""
                 if ids and size + len(text) > chunk:
                     yield flush()
-                    words, ids, digests, refs, size = Places(), [], [], [], 0
-                # A word has the space before it, unless it starts a line: then it has the line end.
-                found = text.replace("\n", " \n").split(" ") if text else []
-                refs.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                    pa.default_memory_pool().release_unused()
+                    ids, digests, texts, size = [], [], [], 0
                 ids.append(doc_id)
                 digests.append(sha256(text.encode()).digest()[:16])
+                texts.append(text)
                 size += len(text)
         if ids:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     def hand_back(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         """The pieces of each chunk's stretches of one bucket, in the chunk's order."""
@@ -362,6 +384,7 @@ def encode(documents: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> Data
                         [doc_ids.slice(a, b - a), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(out)), pa.array(trips)],
                         ["doc_id", "n_pieces", "ids", "round_trip"],
                     )
+                pa.default_memory_pool().release_unused()
 
     blobs = ", ".join(f"{name} binary" for name in ("refs", "per_doc", "inner", "per_word", "own", "per_own"))
     # In buckets, so that the chunks with their references stay where they are and only stretches and pieces travel.
