@@ -132,6 +132,19 @@ def test_personal_data_candidates_are_learnt(spark, documents, no_documents):
     assert pii.find_personal_data(no_documents).count() == 0
 
 
+def test_personal_data_query_counts_each_kind(spark, tmp_path):
+    texts = [
+        "a@b.de 1.2.3.4 card 4111 1111 1111 1111 or call +49 30 1234567", "1.2.3.4 and 4111-1111-1111-1111", "4111 1111 1111 1111",
+        "+49 30 1234567", "a@b.de c@d.fr e@f.es g@h.en", "8.8.8.8 9.9.9.9 +1 415 555 1234 +1 415 555 1235", "", None,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in pii.op3_pii(spark, str(tmp_path)).collect()}
+    for doc_id, text in enumerate(texts):
+        spans, r = pii.base_spans(text or ""), found[doc_id]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(kind == k for kind, _, _ in spans) for k in pii.KINDS)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
 def test_expectation_maximisation_finds_the_bad_labeler():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.5
