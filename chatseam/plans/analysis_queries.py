@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatseam.functions.checksums import base58check, bech32, mixed_case
+from chatseam.functions.once import with_computed
 from chatseam.functions.text import tokens
 from chatseam.operators import actors as A
 from chatseam.operators import clean as C
@@ -22,7 +23,7 @@ from chatseam.plans import sql
 from chatseam.plans import tables as T
 from chatseam.plans.ingest_queries import all_corpora
 from chatseam.plans.registry import query
-from chatseam.sources.parquet import parquet_info, read_parquet
+from chatseam.sources.parquet import parquet_totals, read_parquet
 
 # English words left out of terms and topics in the registered queries.
 STOP_WORDS = (
@@ -60,7 +61,7 @@ _INFO_TABLES = (
     ),
 )
 def parquet_file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = [parquet_info(spark, f"{sf_dir}/{name}.parquet") for name in _INFO_TABLES]
+    frames = [parquet_totals(spark, f"{sf_dir}/{name}.parquet") for name in _INFO_TABLES]
     info = frames[0]
     for frame in frames[1:]:
         info = info.unionByName(frame)
@@ -628,6 +629,23 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("start_no", F.col("start_no").cast("bigint"))
 
 
+def wrong_case(address: Column) -> Column:
+    """An address of 0x and 40 hex digits with letters of a wrong case.
+
+    All letters turn, except where they are of one case: turned, they would be so again, and such an address
+    carries no checksum that could be wrong. There the first letter turns alone. Where it is the only one,
+    no case is wrong, and the last digit becomes none.
+    """
+    digits = F.substring(address, 3, 40)
+    turned = F.translate(digits, "abcdefABCDEF", "ABCDEFabcdef")
+    one_case = (digits == F.lower(digits)) | (digits == F.upper(digits))
+    first = F.length(F.regexp_extract(digits, "^([0-9]*)", 1)) + 1
+    one_turned = F.overlay(digits, F.substring(turned, first, F.lit(1)), first)
+    letters = F.length(F.translate(digits, "0123456789", ""))
+    wrong = F.when(letters < 2, F.overlay(digits, F.lit("g"), F.lit(40))).when(one_case, one_turned).otherwise(turned)
+    return F.concat(F.lit("0x"), wrong)
+
+
 @query(
     "checked_addresses",
     """
@@ -639,12 +657,11 @@ def checked_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     seed = F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 40)
     place = F.col("doc_id") % 3
     address = F.when(place == 0, base58check(F.concat(F.lit("00"), seed))).when(place == 1, bech32(0, seed)).otherwise(mixed_case(F.concat(F.lit("0x"), seed)))
-    other = F.when(F.substring(address, 12, 1) == "q", "p").otherwise("q")
-    wrong = F.when(place == 2, F.concat(F.lit("0x"), F.translate(F.substring(address, 3, 40), "abcdefABCDEF", "ABCDEFabcdef"))).otherwise(
-        F.overlay(address, other, 12)
-    )
-    text = F.concat(F.lit("send it to "), F.when(F.col("doc_id") % 5 == 0, wrong).otherwise(address), F.lit(", today"))
-    messages = T.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    other = F.when(F.substring("address", 12, 1) == "q", "p").otherwise("q")
+    wrong = F.when(F.col("doc_id") % 3 == 2, wrong_case(F.col("address"))).otherwise(F.overlay("address", other, 12))
+    text = F.concat(F.lit("send it to "), F.when(F.col("doc_id") % 5 == 0, wrong).otherwise(F.col("address")), F.lit(", today"))
+    documents = T.table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text")
+    messages = with_computed(documents, {"address": address}).select("doc_id", text.alias("text"))
     found = I.extract_indicators(messages, key="doc_id", text="text", checked=True)
     return found.select("doc_id", "kind", F.col("start_no").cast("bigint").alias("start_no"))
 

@@ -43,6 +43,16 @@ def parquet_info(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parquet_totals(spark: SparkSession, path: str) -> DataFrame:
+    """:func:`parquet_info` of all files of one path together: one row, also where there is no row or no file."""
+    name = path.rstrip("/")
+    columns = F.array(*[F.lit(column) for column in read_parquet(spark, path).columns])
+    return parquet_info(spark, path).agg(
+        F.lit(name).alias("path"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        columns.alias("columns"), F.coalesce(F.sum("size_mb"), F.lit(0.0)).alias("size_mb"),
+    )
+
+
 def write_parquet(
     data: DataFrame,
     path: str,
