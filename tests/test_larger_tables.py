@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatseam.functions.checksums import is_mixed_case, mixed_case
+from chatseam.operators import neighbours
 from chatseam.plans import QUERIES
 from chatseam.plans.analysis_queries import _INFO_TABLES, wrong_case
 
@@ -24,3 +25,20 @@ def test_parquet_info_counts_a_table_of_several_files_once(spark, tmp_path):
         spark.range(rows).selectExpr("id", "id AS other").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {r.file: (r.rows, r.column_count) for r in QUERIES["parquet_info"](spark, str(tmp_path)).collect()}
     assert got == {f"{name}.parquet": (0 if name == "labels" else 7, 2) for name in _INFO_TABLES}
+
+
+def test_equal_distances_go_to_smaller_ids(spark):
+    # 40 places around the origin at one distance: only the names that a place has in the search can differ.
+    ring = [(100 + k, [1.0 if k // 2 == d else 0.0 for d in range(20)] if k % 2 else [-1.0 if k // 2 == d else 0.0 for d in range(20)]) for k in range(40)]
+    data = spark.createDataFrame([(7, [0.0] * 20), *ring], "id long, embedding array<double>")
+    got = neighbours.neighbour_lists(data, "id", k=5, pivots=4).where("id = 7").collect()
+    assert sorted(r.neighbour for r in got) == [100, 101, 102, 103, 104]
+
+
+def test_cells_that_need_all_rows_are_searched_together():
+    rows = {cell: 1_000 for cell in range(64)}
+    blocks = neighbours._blocks(rows, {cell: 64_000 for cell in rows}, 64, 12)
+    # Every block of queries gets all rows once: few blocks, each of them bounded.
+    assert sum(parts for _, _, parts, _ in blocks) <= 3 and sorted(t for _, ts, _, _ in blocks for t in ts) == list(rows)
+    apart = neighbours._blocks(rows, {cell: 2_000 for cell in rows}, 64, 12)
+    assert len(apart) == 64
