@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatseam.functions.text import tokens, with_bigrams
+from chatseam.session import saved
 
 # Parts into which the rows of one term are split; a power of two.
 SALTS = 64
@@ -129,6 +130,8 @@ def class_term_weights(
         .withColumn("_df", F.count(F.lit(1)).over(per_term))
         .where(F.col("_df") >= min_df)
     )
+    # Three uses: the weights, the topics' sizes and their average.
+    kept = saved(kept)
     sizes = kept.groupBy("topic").agg(F.sum("n").alias("_size"))
     average = sizes.agg(F.avg("_size")).scalar()
     weight = F.col("n") / F.col("_size") * F.log(1 + average / F.col("_all"))
