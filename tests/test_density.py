@@ -200,3 +200,16 @@ def test_query_equals_brute_force_on_the_given_vectors(spark):
     assert {i: topic for i, (topic, _) in found.items()} == {i: topic for i, (topic, _) in expected.items()}
     assert all(abs(found[i][1] - expected[i][1]) < 1e-6 for i in expected)
     assert len({topic for topic, _ in found.values()}) > 5
+
+
+def test_a_deep_tree_of_clusters_takes_few_rounds(spark, monkeypatch):
+    """Pairs of points on a string: cluster after cluster joins the first ones, so the tree is as deep as there are clusters."""
+    from chatseam.operators import density
+
+    steps, plain_saved = [], density.saved
+    monkeypatch.setattr(density, "saved", lambda rows: steps.append(1) or plain_saved(rows))
+    edges = [(2 * i, 2 * i + 1, 0.5 + i / 100) for i in range(48)] + [(2 * i, 2 * i + 2, 2.0 + i) for i in range(47)]
+    edges += [(100 + 2 * i, 101 + 2 * i, 0.3) for i in range(8)] + [(100 + 2 * i, 102 + 2 * i, 5.0 - i % 4) for i in range(7)]
+    ids = [*range(96), *range(100, 116)]
+    assert found_clusters(spark, ids, edges, 2) == plain_clusters(ids, edges, 2)
+    assert len(steps) < 100
