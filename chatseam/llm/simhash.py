@@ -180,11 +180,16 @@ def bucket_pairs(keyed: DataFrame, distance: int, width: int) -> DataFrame:
 
 def near_links(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
     """``a, b``: links that connect all fingerprints of ``prints`` (distinct ``fp``) within the distance."""
+    return bucket_links(print_buckets(prints.withColumn("id", F.col("fp")), distance, blocks), distance, 1)
+
+
+def print_buckets(rows: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
+    """``rows`` once for every choice of blocks: ``choice, key``, the fingerprint ``fp`` as ``w0``, and the other columns."""
     masks = F.array(*(F.lit(m).cast("bigint") for m in block_masks(distance, blocks)))
-    keyed = prints.select("fp", F.posexplode(masks).alias("choice", "mask")).select(
-        "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), F.col("fp").alias("id"), F.col("fp").alias("w0")
+    others = [name for name in rows.columns if name != "fp"]
+    return rows.select("*", F.posexplode(masks).alias("choice", "mask")).select(
+        "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), *others, F.col("fp").alias("w0")
     )
-    return bucket_links(keyed, distance, 1)
 
 
 def near_duplicates(documents: DataFrame, size: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
@@ -237,10 +242,12 @@ def compared_sets(links: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def similar_links(
-    classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, distance: int, compared: int, whole: int, words: int, block_bits: int
+    classes: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, distance: int, compared: int, whole: int, words: int, block_bits: int
 ) -> DataFrame:
     """``a, b``: verified links that connect all ids of ``classes`` (``id, print``) that the fingerprints propose and the sets confirm.
 
+    ``prints`` (``id, fp``) are their fingerprints of 64 bits, which propose at 3 bits; those of ``classes`` propose as follows.
+
     First a forest of every bucket is verified. Where a link of it fails, what it held together falls into
     parts; these are searched again for all pairs of two parts, which are verified too. So no
     pair that shares a block and lies within the distances is left out. The first search compares ``compared`` words
@@ -256,7 +263,8 @@ def similar_links(
         prints = (F.get("print", F.lit(k)).alias(f"w{k}") for k in range(width))
         return rows.select(F.posexplode(blocks).alias("choice", "key"), *(c for c in rows.columns if c != "print"), *prints)
 
-    proposed = stored(bucket_links(keyed(classes, compared), distance, compared))
+    wide = bucket_links(keyed(classes, compared), distance, compared)
+    proposed = stored(wide.union(bucket_links(print_buckets(prints), 3, 1).where("a != b")).distinct())
     nodes = proposed.select(F.col("a").alias("id")).union(proposed.select("b")).distinct()
     sets = stored(sets_of(nodes))
     judged = stored(compared_sets(proposed, sets, similarity))
@@ -270,8 +278,9 @@ def similar_links(
     torn = stored(failed.select(F.col("_a").alias("root")).union(failed.select("_b")).distinct())
     if torn.isEmpty():
         return links
-    again = classes.join(parts.join(torn, "root"), "id")
-    pairs = bucket_pairs(keyed(again, words), whole, words)
+    members = parts.join(torn, "root")
+    pairs = bucket_pairs(keyed(classes.join(members, "id"), words), whole, words)
+    pairs = pairs.union(bucket_pairs(print_buckets(prints.join(members, "id")), 3, 1)).distinct()
     return links.union(stored(compared_sets(pairs, sets, similarity).where("near").select("a", "b")))
 
 
@@ -282,7 +291,8 @@ def drop_near_duplicates(
     """One document of each group of near duplicates, unchanged: the one of smallest id.
 
     Two texts are near duplicates if their sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` at
-    least; a group is what such pairs connect. Equal sets are one class from the start. Other pairs are proposed by
+    least; a group is what such pairs connect. Equal sets are one class from the start. Other pairs are proposed by the
+    fingerprints of :func:`near_duplicates` that link at 3 bits, and, as most such copies lie further apart than that, by
     fingerprints of ``words`` times 64 bits, of which at similarity 0.8 about 15 % differ: such copies agree in one of the 64 blocks of
     ``block_bits`` bits in about 99 % of cases. Of these pairs, those whose first ``compared`` words differ in ``distance`` bits at
     most (31 %), or whose words all differ in ``whole`` bits at most (24 %), are verified on the sets themselves: the distances lie
@@ -291,13 +301,15 @@ def drop_near_duplicates(
     rows one stays. Very long texts are hashed in slices. An empty table gives an empty result.
     """
 
-    @F.arrow_udf("struct<set: bigint, print: array<bigint>>")
+    @F.arrow_udf("struct<fp: bigint, set: bigint, print: array<bigint>>")
     def wide(text: pa.Array) -> pa.Array:
-        sets = [shingle_set(data, size) for data in text.to_pylist()]
+        texts = text.to_pylist()
+        narrow = pa.array([simhash(data) for data in texts], pa.int64())
+        sets = [shingle_set(data, size) for data in texts]
         keys = pa.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], pa.uint64()).view(pa.int64())
         flat = np.concatenate([wide_simhash(x, words) for x in sets]) if sets else np.empty(0, np.int64)
         prints = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words), pa.array(flat))
-        return pa.StructArray.from_arrays([keys, prints], ["set", "print"])
+        return pa.StructArray.from_arrays([narrow, keys, prints], ["fp", "set", "print"])
 
     @F.arrow_udf("array<bigint>")
     def shingles(text: pa.Array) -> pa.Array:
@@ -307,7 +319,7 @@ def drop_near_duplicates(
     named = carried(documents, "doc_id").withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "_text_id": F.xxhash64("text")})
     rows = stored(
         named.select("_id", "_text_id", wide(F.col("text").cast("binary")).alias("_wide"))
-        .select("_id", "_text_id", F.col("_wide.set").alias("_class"), F.col("_wide.print").alias("_print"))
+        .select("_id", "_text_id", F.col("_wide.fp").alias("_fp"), F.col("_wide.set").alias("_class"), F.col("_wide.print").alias("_print"))
     )
     classes = stored(rows.groupBy("_class").agg(F.min(F.struct("_id", "_text_id")).alias("first"), F.first("_print").alias("print")))
 
@@ -317,7 +329,8 @@ def drop_near_duplicates(
         texts = named.select("_id", "_text_id", "text").join(wanted, ["_id", "_text_id"])
         return texts.select("id", shingles(F.col("text").cast("binary")).alias("shingles")).dropDuplicates(["id"])
 
-    links = similar_links(classes.select(F.col("_class").alias("id"), "print"), sets_of, similarity, distance, compared, whole, words, block_bits)
+    prints = rows.select(F.col("_class").alias("id"), F.col("_fp").alias("fp")).distinct()
+    links = similar_links(classes.select(F.col("_class").alias("id"), "print"), prints, sets_of, similarity, distance, compared, whole, words, block_bits)
     roots = components(links, "a", "b")
     linked = stored(
         classes.join(roots, classes["_class"] == roots["node"], "left").select("_class", F.col("first._id").alias("first"), F.coalesce("root", "_class").alias("_root"))

@@ -475,3 +475,16 @@ def test_shards_move_into_grown_subtrees_only(spark):
             assert rack[r.a] != rack[r.c] or r.c == 5
         elif r.a != r.c:
             assert region[r.c] == region[5]
+
+
+def test_similar_texts_that_simhash_links_are_near_duplicates(spark):
+    """A refrain of five words, and the same with another word at its end: sets of five and six shingles, so wide prints often share no block."""
+    texts = []
+    for n in (169, 180, *range(20)):
+        refrain = " ".join([f"w{n}a w{n}b w{n}c w{n}d w{n}e"] * 40)
+        texts += [refrain, f"{refrain} end{n}"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = {r.doc_id for r in simhash.near_duplicates(documents).collect() if r.component_id != r.doc_id}
+    assert linked == set(range(1, 44, 2))
+    left = {r.doc_id for r in simhash.drop_near_duplicates(documents).collect()}
+    assert left == set(range(0, 44, 2))
