@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import sys
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatseam.functions.text import tokens, with_bigrams
 from chatseam.session import saved
 
+# Workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Parts into which the rows of one term are split; a power of two.
 SALTS = 64
+# Bytes of text counted at once; a longer text is counted alone.
+BYTES = 2**23
+# What lies between words: see TOKEN_PATTERN.
+BETWEEN = r"[^\p{L}\p{N}_]+"
 
 
 def terms(text: Column, stop_words: Iterable[str] = (), bigrams: bool = True) -> Column:
@@ -29,13 +41,86 @@ def document_frequencies(
 ) -> DataFrame:
     """``(term, documents)`` for terms in at least ``min_df`` documents.
 
-    Copies within a document go before the explode, so plain counts suffice.
+    Each batch of documents gives a term once with its number of documents, so plain sums suffice.
     """
-    per_document = documents.select(
-        F.explode(F.array_distinct(terms(F.col(text), stop_words, bigrams))).alias("term")
-    )
-    counted = per_document.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-    return counted.where(F.col("documents") >= min_df)
+    batches = postings(documents, None, text, stop_words, bigrams)
+    summed = batches.groupBy("term").agg(F.sum("documents").alias("documents"))
+    return summed.where(F.col("documents") >= min_df)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows brought together or taken apart to about ``BYTES`` of ``size``."""
+    held: list[pa.RecordBatch] = []
+    room = BYTES
+    for batch in batches:
+        ends = np.cumsum(batch.column("size").to_numpy())
+        at, done = 0, 0
+        while at < len(ends):
+            to = max(int(np.searchsorted(ends, done + room, side="right")), at if held else at + 1)
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                room -= int(ends[to - 1]) - done
+                at, done = to, int(ends[to - 1])
+            if at < len(ends):
+                yield pa.Table.from_batches(held)
+                held, room = [], BYTES
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _posted(text: pa.Array, stop_words: list[str], bigrams: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of lower-cased texts, where the rows of each end, those rows, and how often each has the term."""
+    words = pc.split_pattern_regex(text, BETWEEN)
+    encoded = words.flatten().dictionary_encode()
+    names, code = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+    long, stops = pc.greater(pc.utf8_length(names), 1), pc.is_in(names, pa.array(stop_words, names.type))
+    wanted = pc.and_not(long, stops).to_numpy(zero_copy_only=False)[code]
+    code, row = code[wanted], row[wanted]
+
+    def grouped(code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        both, n = np.unique(code * len(words) + row, return_counts=True)
+        of, rows = np.divmod(both, len(words))
+        found, sizes = np.unique(of, return_counts=True)
+        return found, sizes, rows, n
+
+    found, sizes, rows, n = grouped(code, row)
+    named = names.take(pa.array(found))
+    if bigrams:
+        same = row[1:] == row[:-1]
+        pairs, place = np.unique(code[:-1][same] * len(names) + code[1:][same], return_inverse=True)
+        _, more_sizes, more_rows, more_n = grouped(place, row[1:][same])
+        left, right = np.divmod(pairs, max(1, len(names)))
+        joined = pc.binary_join_element_wise(names.take(pa.array(left)), names.take(pa.array(right)), pa.scalar(" ", names.type))
+        named = pa.concat_arrays([named, joined])
+        sizes, rows, n = (np.concatenate(x) for x in ((sizes, more_sizes), (rows, more_rows), (n, more_n)))
+    return named, np.cumsum(sizes), rows, n
+
+
+def postings(documents: DataFrame, key: str | None, text: str, stop_words: Iterable[str], bigrams: bool) -> DataFrame:
+    """A term once for each batch of documents: ``(term, keys, ns)``, or ``(term, documents)`` without a key."""
+    stops = sorted(set(stop_words))
+    lower = F.lower(F.col(text)).alias("text")
+    rows = documents.select(*([F.col(key).alias("key")] if key else []), lower).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    lists = f"keys array<{rows.schema['key'].dataType.simpleString()}>, ns array<bigint>" if key else "documents bigint"
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            named, ends, rows, n = _posted(part.column("text").combine_chunks(), stops, bigrams)
+            if not key:
+                yield pa.RecordBatch.from_arrays([named, pa.array(np.diff(ends, prepend=0))], ["term", "documents"])
+                continue
+            keys = part.column("key").combine_chunks().take(pa.array(rows))
+            # In pieces, as a row holds many keys.
+            for at in range(0, len(named), 20_000):
+                to = min(at + 20_000, len(named))
+                begins = np.r_[0, ends][at : to + 1]
+                cut = slice(begins[0], begins[-1])
+                offsets = pa.array((begins - begins[0]).astype(np.int32))
+                columns = [named.slice(at, to - at), *(pa.ListArray.from_arrays(offsets, x) for x in (keys[cut], pa.array(n[cut])))]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "keys", "ns"])
+
+    return rows.mapInArrow(post, f"term string, {lists}")
 
 
 def counted(words: Column) -> Column:
@@ -92,17 +177,30 @@ def vocabulary_counts(
 ) -> DataFrame:
     """Term counts restricted to terms found in at least ``min_df`` documents.
 
-    A term of every document has as many rows as there are documents. So terms are counted and
-    joined in ``SALTS`` parts of the documents; only the parts' totals meet per term.
+    A term of every document has as many counts as there are documents. So they travel in lists, one for a batch of
+    documents, in ``SALTS`` parts; only the parts' totals meet per term. Documents that share
+    their key are counted row by row and taken together first.
     """
-    rows = documents.select(key, F.inline(counted(terms(F.col(text), stop_words, bigrams))))
-    counts = _combined(rows, key)
-    # Reading n here too keeps both uses of the counts alike, so that the planner
-    # shuffles them once.
-    parts = counts.groupBy("term", "_salt").agg(F.count_if(F.col("n") > 0).alias("_df"))
+    times = documents.groupBy(key).agg(F.count(F.lit(1)).alias("_times"))
+    shared = times.where("_times > 1").select(F.col(key).alias("_key"), F.lit(True).alias("_shared"))
+    if shared.isEmpty():
+        lists = postings(documents, key, text, stop_words, bigrams)
+    else:
+        marked = documents.select(key, text).join(shared, F.col(key).eqNullSafe(F.col("_key")), "left")
+        rows = marked.where("_shared").select(key, F.inline(counted(terms(F.col(text), stop_words, bigrams))))
+        single = F.array(key).alias("keys"), F.array("n").alias("ns")
+        lists = postings(marked.where("_shared IS NULL"), key, text, stop_words, bigrams).unionByName(_combined(rows, key).select("term", *single))
+    # Neither key can be null here. Else a join would add that as a filter to its use of the lists, and they
+    # would be made and shuffled once for each use.
+    salted = lists.where(F.col("term").isNotNull()).withColumn("_salt", F.xxhash64(F.get("keys", F.lit(0))).bitwiseAND(F.lit(SALTS - 1)))
+    parts = salted.repartition("term", "_salt")
+    # Reading ns here too keeps both uses alike, so that the planner shuffles them once.
+    totals = parts.groupBy("term", "_salt").agg(F.sum(F.least(F.size("keys"), F.size("ns"))).alias("_df"))
     everywhere = F.sum("_df").over(Window.partitionBy("term"))
-    vocabulary = parts.withColumn("_all", everywhere).where(F.col("_all") >= min_df)
-    return counts.join(vocabulary.select("term", "_salt"), ["term", "_salt"]).select(key, "term", "n")
+    vocabulary = totals.withColumn("_all", everywhere).where(F.col("_all") >= min_df)
+    kept = parts.join(vocabulary.select("term", "_salt"), ["term", "_salt"])
+    found = kept.select("term", F.inline(F.arrays_zip("keys", "ns")))
+    return found.select(F.col("keys").alias(key), "term", F.col("ns").alias("n"))
 
 
 def class_term_weights(

@@ -449,3 +449,32 @@ def test_term_counts_within_rows_and_over_rows_of_one_key(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     expected = {("a", "red"): 3, ("a", "blue"): 1, (None, "blue"): 2, ("d", "red"): 1}
     assert {(r.id, r.term): r.n for r in counts.collect() if r.term != "x"} == expected
+
+
+def test_vocabulary_of_many_slices_and_shared_keys(spark, monkeypatch):
+    """Batches are cut and joined by their size; rows of one key, or of none, count as one document."""
+    monkeypatch.setattr(terms, "BYTES", 40)
+    chance = random.Random(4)
+    rows = [(f"k{i % 50}" if i % 9 else None, " ".join(chance.choices(["alpha", "beta", "the", "gamma", "delta"], k=i % 12)) or None) for i in range(70)]
+    rows += [(f"s{i}", "alpha beta alpha beta") for i in range(5)]
+
+    def plain(text):
+        words = [w for w in (text or "").split() if w != "the"]
+        return words + [f"{x} {y}" for x, y in zip(words, words[1:])]
+
+    per_key, per_row = {}, Counter(t for _, text in rows for t in set(plain(text)))
+    for key, text in rows:
+        per_key.setdefault(key, Counter()).update(plain(text))
+    df = Counter(t for found in per_key.values() for t in found)
+    documents = frame(spark, rows, "id string, raw_text string").coalesce(2)
+    found = [(r.id, r.term, r.n) for r in terms.vocabulary_counts(documents, "id", min_df=8, stop_words=["the"]).collect()]
+    assert sorted(found, key=str) == sorted(((k, t, n) for k, some in per_key.items() for t, n in some.items() if df[t] >= 8), key=str)
+    listed = {r.term: r.documents for r in terms.document_frequencies(documents, min_df=8, stop_words=["the"]).collect()}
+    assert listed == {t: n for t, n in per_row.items() if n >= 8}
+
+
+def test_a_batch_gives_each_term_once(spark):
+    """Not one row for each document: that is what travels."""
+    rows = [(i, "common words of all texts") for i in range(1000)]
+    documents = spark.createDataFrame(rows, "id long, raw_text string").coalesce(1)
+    assert terms.postings(documents, "id", "raw_text", (), True).count() == 9
