@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatseam.functions.languages import needs_detection
+from chatseam.functions.once import with_computed
 from chatseam.functions.text import chunks, clean_text, md5_prefix
 from chatseam.functions.timestamps import parse_timestamp
 from chatseam.functions.vectors import l2_norm, l2_normalize
@@ -581,9 +582,11 @@ def sample_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pieces(documents: DataFrame) -> DataFrame:
     """Texts of JSON documents as the pieces and ranges a scan would give: up to a closing brace, seven to a range."""
-    parts = F.split("text", r"\}")
-    pieces = documents.select("path", F.octet_length("text").alias("size"), F.posexplode(parts).alias("seen", "value"), F.size(parts).alias("n"))
-    return pieces.where("seen < n - 1 or value <> ''").withColumn("range", F.floor(F.col("seen") / 7))
+    # A select that explodes would split the whole text again for every piece, if it used the text beside the explode.
+    parts = F.split(F.regexp_replace("text", r"\}\z", ""), r"\}")
+    documents = with_computed(documents.where("text <> ''"), {"size": F.octet_length("text"), "parts": parts})
+    pieces = documents.select("path", "size", F.posexplode("parts").alias("seen", "value"))
+    return pieces.withColumn("range", F.floor(F.col("seen") / 7))
 
 
 @query(

@@ -15,12 +15,14 @@ import sys
 from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chatseam.functions.json import as_record, document_items
+from chatseam.functions.once import with_computed
 from chatseam.sources.listing import FileEntry, escape_glob
 
 # Workers need not have this package.
@@ -71,14 +73,22 @@ def _list_parts(*columns: Column) -> Column:
 
     @F.arrow_udf(_PARTS)
     def parts(value: pa.Array, inside: pa.Array, depth: pa.Array, level: pa.Array) -> pa.Array:
-        rows = zip(*(column.to_pylist() for column in (value, inside, depth, level)), strict=True)
-        return pa.array([None if row[0] is None else list_parts(*row) for row in rows], kind)
+        found = [None] * len(value)
+        places = pc.indices_nonzero(value.is_valid())
+        rows = zip(*(column.take(places).to_pylist() for column in (value, inside, depth, level)), strict=True)
+        for place, row in zip(places.to_pylist(), rows, strict=True):
+            found[place] = list_parts(*row)
+        return pa.array(found, kind)
 
     return parts(*columns)
 
 
 def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """How many of some ASCII characters a text holds."""
+    rest = text
+    for character in characters:
+        rest = F.replace(rest, F.lit(character), F.lit(""))
+    return F.octet_length(text) - F.octet_length(rest)
 
 
 def _before(value: Column, *order: str, by: Sequence[str]) -> Column:
@@ -95,11 +105,13 @@ def _last_before(value: Column, *order: str, by: Sequence[str]) -> Column:
 
 def _summed(pieces: DataFrame) -> DataFrame:
     """Add quotes and depth changes, and their sums before the piece within its range, for both starts of the range."""
-    plain = F.regexp_replace("value", r"(?s)\\.", "")
-    strings = r'"[^"]*("|$)'
-    outside = {0: F.regexp_replace(plain, strings, ""), 1: F.regexp_replace(F.regexp_replace(plain, r'^[^"]*("|$)', ""), strings, "")}
+    value = F.col("value")
+    plain = F.when(value.contains("\\"), F.regexp_replace(value, r"(?s)\\.", "")).otherwise(value)
     quotes = _count(plain, '"')
-    rows = pieces.withColumns({"quotes": quotes % 2, "open0": _count(outside[0], "[{"), "close0": _count(outside[0], "]"), "open1": _count(outside[1], "[{"), "close1": _count(outside[1], "]")})
+    outside = F.when(quotes > 0, F.regexp_replace(plain, r'"[^"]*("|$)', "")).otherwise(plain)
+    # What lies outside of strings for the one start lies inside of them for the other.
+    rows = pieces.withColumns({"quotes": quotes % 2, "open0": _count(outside, "[{"), "close0": _count(outside, "]"), "open": _count(plain, "[{"), "close": _count(plain, "]")})
+    rows = rows.withColumns({"open1": F.col("open") - F.col("open0"), "close1": F.col("close") - F.col("close0")})
     rows = rows.withColumn("local", _before(F.col("quotes"), "seen", by=["path", "range"]) % 2)
 
     def change(inside: Column) -> Column:
@@ -112,12 +124,12 @@ def _summed(pieces: DataFrame) -> DataFrame:
 
 
 def _started(pieces: DataFrame) -> DataFrame:
-    """Pieces with their true start: ``inside`` a string (0 or 1) and ``depth``; ``root``, the document's first character; ``whole``, whether it closes."""
+    """Pieces with their true start: ``inside`` a string (0 or 1) and ``depth``; ``root``, the document's first character; ``whole``, whether it closes; ``refused``, whether it is no list or object; ``first``, whether it is the document's first piece."""
     summed = _summed(pieces)
     ranges = summed.groupBy("path", "range").agg(
         F.sum("quotes").alias("quotes"), F.sum("change0").alias("change0"), F.sum("change1").alias("change1"),
         F.min_by(F.substring(F.btrim("value", F.lit("﻿ \t\r\n")), 1, 1), "seen").alias("head"),
-        F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"), F.min("seen").alias("first"),
+        F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"), F.min("seen").alias("first_seen"),
     )
     by = ["path"]
     document = Window.partitionBy("path")
@@ -127,6 +139,7 @@ def _started(pieces: DataFrame) -> DataFrame:
         {
             "depth": _before(F.col("change"), "range", by=by),
             "root": F.min_by("head", "range").over(document),
+            "first_range": F.min("range").over(document),
             "last_depth": F.sum("change").over(document),
             # Every piece counts as if it ended with a brace; the last one may not, and then closes one too many.
             "extra": F.sum("bytes").over(document) - F.max("size").over(document),
@@ -135,7 +148,7 @@ def _started(pieces: DataFrame) -> DataFrame:
     # The reader leaves out a byte-order mark, three bytes.
     extra = F.when(F.col("extra") < 0, F.col("extra") + 3).otherwise(F.col("extra"))
     ranges = ranges.withColumn("whole", (F.col("last_depth") == -extra) & extra.isin(0, 1))
-    starts = ranges.select("path", "range", F.col("inside").alias("_inside"), F.col("depth").alias("_depth"), "root", "whole")
+    starts = ranges.select("path", "range", F.col("inside").alias("_inside"), F.col("depth").alias("_depth"), "root", "whole", "first_range", "first_seen")
     at_start = F.col("_inside") == 0
     return (
         summed.join(starts, ["path", "range"])
@@ -147,6 +160,8 @@ def _started(pieces: DataFrame) -> DataFrame:
         )
         .withColumn("after_depth", F.col("depth") + F.when(at_start, F.col("change0")).otherwise(F.col("change1")))
         .withColumn("level", F.when(F.col("root") == "[", 1).when(F.col("root") == "{", 2))
+        .withColumn("refused", ~F.col("whole") | F.col("level").isNull())
+        .withColumn("first", (F.col("range") == F.col("first_range")) & (F.col("seen") == F.col("first_seen")))
     )
 
 
@@ -176,59 +191,71 @@ def cut_records(pieces: DataFrame, envelope_keys: Sequence[str], bare_object: bo
     rows = rows.withColumn("breaks", F.size(F.filter("parts", lambda part: part["closed"])) + F.col("ends").cast("int"))
     local = ["path", "range"]
     rows = rows.withColumns({"group": _before(F.col("breaks"), "seen", by=local), "held": _last_before(F.col("lists.after"), "seen", by=local)})
+    # A root that is a list comes first, then the envelope keys in their order.
+    kinds = ["", *envelope_keys]
     ranges = rows.groupBy("path", "range").agg(
         F.sum("breaks").alias("breaks"), F.max_by("lists.after", F.when(F.col("lists.after").isNotNull(), F.col("seen"))).alias("after"),
-        F.flatten(F.collect_list(F.filter("lists.opened", lambda key: key.isin("=", *[f"={k}" for k in envelope_keys])))).alias("opened"),
+        *[F.max(F.array_contains("lists.opened", f"={key}")).alias(f"opened_{k}") for k, key in enumerate(kinds)],
     )
-    opened = F.flatten(F.collect_list("opened").over(Window.partitionBy("path")))
-    chosen = F.coalesce(*[F.when(F.array_contains("all_opened", f"={key}"), F.lit(f"={key}")) for key in ("", *envelope_keys)])
-    ranges = (
-        ranges.withColumns({"_group": _before(F.col("breaks"), "range", by=["path"]), "_held": _last_before(F.col("after"), "range", by=["path"]), "all_opened": F.array_distinct(opened)})
-        .select("path", "range", "_group", "_held", chosen.alias("chosen"))
+    # One flag a kind: lists of what the ranges opened would be gathered anew for each range of a document.
+    document = Window.partitionBy("path")
+    chosen = F.coalesce(*[F.when(F.max(f"opened_{k}").over(document), F.lit(f"={key}")) for k, key in enumerate(kinds)])
+    ranges = ranges.select(
+        "path", "range", _before(F.col("breaks"), "range", by=["path"]).alias("_group"), _last_before(F.col("after"), "range", by=["path"]).alias("_held"), chosen.alias("chosen")
     )
     rows = rows.join(ranges, ["path", "range"]).withColumns(
         {"group": F.col("group") + F.col("_group"), "held": F.coalesce("held", "_held", F.lit(NO_LIST)), "itself": F.col("chosen").isNull() & (F.col("root") == "{")}
     )
+    if not bare_object:
+        rows = rows.where(~F.coalesce("itself", F.lit(False)))
     # A brace was left out at the end of each piece; the document's own end needs none, as records end before it.
-    texts = rows.where("whole and level is not null").select(
-        "path", "range", "seen", "held", "group", "itself", "chosen",
-        F.posexplode(F.when(F.col("itself"), F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("value").alias("text"), F.lit(False).alias("closed")))).otherwise(F.col("parts"))).alias("part", "own"),
+    own_text = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("value").alias("text"), F.lit(False).alias("closed")))
+    # A refused document goes on as its first piece.
+    texts = rows.where("not refused or first").select(
+        "path", "range", "seen", "held", "group", "itself", "chosen", "refused",
+        F.posexplode(F.when(F.col("itself") | F.col("refused"), own_text).otherwise(F.col("parts"))).alias("part", "own"),
         F.col("parts").alias("_parts"),
     )
     closed_before = F.size(F.filter(F.slice("_parts", F.lit(1), F.col("part")), lambda part: part["closed"]))
-    texts = texts.where(F.col("itself") | (F.coalesce("own.key", "held") == F.col("chosen"))).select(
-        "path", "itself", "range", "seen", "part",
+    texts = texts.where(F.col("itself") | F.col("refused") | (F.coalesce("own.key", "held") == F.col("chosen"))).select(
+        "path", "itself", "refused", "range", "seen", "part",
         F.when(F.col("itself"), F.lit(0)).otherwise(F.col("group") + closed_before).alias("group"),
         F.concat("own.text", F.when(F.col("own.closed"), F.lit("")).otherwise(F.lit("}"))).alias("text"),
     )
-    items = (
+    grouped = (
         texts.groupBy("path", "group")
-        .agg(F.first("itself").alias("itself"), F.array_sort(F.collect_list(F.struct("range", "seen", "part", "text"))).alias("texts"))
+        .agg(F.first("itself").alias("itself"), F.first("refused").alias("refused"), F.array_sort(F.collect_list(F.struct("range", "seen", "part", "text"))).alias("texts"))
         .withColumn("text", F.make_valid_utf8(F.array_join(F.transform("texts", lambda piece: piece["text"]), "")))
-        .select("path", "group", F.regexp_replace(F.when(F.col("itself"), F.regexp_replace(F.ltrim(F.col("text")), "^﻿", "")).otherwise(F.col("text")), r"^\s*,", "").alias("text"))
+    )
+    item = F.regexp_replace(F.when(F.col("itself"), F.regexp_replace(F.ltrim(F.col("text")), "^﻿", "")).otherwise(F.col("text")), r"^\s*,", "")
+    items = with_computed(
+        grouped.select("path", "group", "refused", "itself", "text"),
+        {"refused": F.col("refused"), "trimmed": F.btrim(item, F.lit(" \t\r\n"))},
+        keep=lambda row: row["refused"] | (row["trimmed"] != ""),
     )
     # The last piece of an object that is its own record has a brace of its own or none left over.
-    trimmed = F.btrim("text", F.lit(" \t\r\n"))
+    trimmed = F.col("trimmed")
     whole = F.coalesce(
         document_items(F.concat(F.lit("["), trimmed, F.lit("]")), ("records",), False),
         document_items(F.concat(F.lit("["), F.regexp_replace(trimmed, r"\s*\}$", ""), F.lit("]")), ("records",), False),
     )
-    read = items.where(trimmed != "").select("path", "group", F.coalesce(whole, F.array(F.lit(None).cast("variant"))).alias("items"))
-    sizes = read.groupBy("path", F.shiftright("group", STRETCH).alias("stretch")).agg(F.sum(F.size("items")).alias("n"))
+    parsed = F.when(~F.col("refused"), F.coalesce(whole, F.array(F.lit(None).cast("variant"))))
+    stretch = F.shiftright("group", STRETCH)
+    # Both uses read the same columns of one shuffle, so items are parsed once.
+    read = items.select("path", "group", parsed.alias("items")).repartition("path", stretch)
+    sizes = read.groupBy("path", stretch.alias("stretch")).agg(F.sum(F.array_size("items")).alias("n"))
     sizes = sizes.select("path", "stretch", _before(F.col("n"), "stretch", by=["path"]).alias("earlier"))
-    numbered = read.withColumn("stretch", F.shiftright("group", STRETCH)).join(sizes, ["path", "stretch"])
-    numbered = numbered.withColumn("earlier", F.col("earlier") + _before(F.size("items"), "group", by=["path", "stretch"]))
-    found = numbered.select("path", "earlier", F.posexplode(F.transform("items", lambda item: F.struct(as_record(item).alias("rec"), item.isNull().alias("bad")))).alias("at", "item"))
-    ordinal = F.col("earlier") + F.col("at")
-    records = found.select(
-        "path", ordinal.cast("bigint").alias("ordinal"), "item.rec",
-        F.when(F.col("item.rec").isNull(), F.concat(F.lit("item "), ordinal.cast("bigint"), F.when(F.col("item.bad"), F.lit(" is not valid JSON")).otherwise(F.lit(" is not an object")))).alias("reason"),
+    numbered = read.withColumn("stretch", stretch).join(sizes, ["path", "stretch"])
+    numbered = numbered.withColumn("earlier", F.col("earlier") + _before(F.array_size("items"), "group", by=["path", "stretch"]))
+    each = F.transform("items", lambda item: F.struct(as_record(item).alias("rec"), item.isNull().alias("bad")))
+    none = F.array(F.struct(F.lit(None).cast("map<string,variant>").alias("rec"), F.lit(None).cast("boolean").alias("bad")))
+    found = numbered.select("path", "earlier", F.posexplode(F.coalesce(each, none)).alias("at", "item"))
+    ordinal, bad = (F.col("earlier") + F.col("at")).cast("bigint"), F.col("item.bad")
+    return found.select(
+        "path", F.when(bad.isNotNull(), ordinal).alias("ordinal"), "item.rec",
+        F.when(bad.isNull(), F.lit("not a JSON list or object"))
+        .when(F.col("item.rec").isNull(), F.concat(F.lit("item "), ordinal, F.when(bad, F.lit(" is not valid JSON")).otherwise(F.lit(" is not an object")))).alias("reason"),
     )
-    refused = rows.where("not whole or level is null").groupBy("path").agg(F.first("root")).select(
-        "path", F.lit(None).cast("bigint").alias("ordinal"), F.lit(None).cast("map<string,variant>").alias("rec"), F.lit("not a JSON list or object").alias("reason")
-    )
-    result = records.unionByName(refused)
-    return result if bare_object else result.join(rows.where("itself").select("path").distinct(), "path", "left_anti")
 
 
 def read_ranges(spark: SparkSession, files: Sequence[FileEntry], columns: dict[str, Column], envelope_keys: Sequence[str], bare_object: bool = True) -> DataFrame:
