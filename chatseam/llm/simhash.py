@@ -242,11 +242,13 @@ def compared_sets(links: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def similar_links(
-    classes: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, distance: int, compared: int, whole: int, words: int, block_bits: int
+    classes: DataFrame, prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, distance: int, compared: int, whole: int, words: int, block_bits: int,
+    linked: bool = False,
 ) -> DataFrame:
     """``a, b``: verified links that connect all ids of ``classes`` (``id, print``) that the fingerprints propose and the sets confirm.
 
-    ``prints`` (``id, fp``) are their fingerprints of 64 bits, which propose at 3 bits; those of ``classes`` propose as follows.
+    ``prints`` (``id, fp``) are their fingerprints of 64 bits, which propose at 3 bits, or with ``linked`` link at once; those
+    of ``classes`` propose as follows.
 
     First a forest of every bucket is verified. Where a link of it fails, what it held together falls into
     parts; these are searched again for all pairs of two parts, which are verified too. So no
@@ -263,30 +265,34 @@ def similar_links(
         prints = (F.get("print", F.lit(k)).alias(f"w{k}") for k in range(width))
         return rows.select(F.posexplode(blocks).alias("choice", "key"), *(c for c in rows.columns if c != "print"), *prints)
 
-    wide = bucket_links(keyed(classes, compared), distance, compared)
-    proposed = stored(wide.union(bucket_links(print_buckets(prints), 3, 1).where("a != b")).distinct())
+    proposed = bucket_links(keyed(classes, compared), distance, compared)
+    narrow = stored(bucket_links(print_buckets(prints), 3, 1).where("a != b"))
+    proposed = stored(proposed if linked else proposed.union(narrow).distinct())
     nodes = proposed.select(F.col("a").alias("id")).union(proposed.select("b")).distinct()
     sets = stored(sets_of(nodes))
     judged = stored(compared_sets(proposed, sets, similarity))
     links = judged.where("near").select("a", "b")
+    if linked:
+        links = links.union(narrow)
     roots = components(links, "a", "b")
     parts = stored(sets.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
     failed = judged.where("not near").select("a", "b")
     for end in ("a", "b"):
         failed = failed.join(parts.select(F.col("id").alias(end), F.col("root").alias(f"_{end}")), end)
-    failed = failed.where("_a != _b")
+    failed = stored(failed.where("_a != _b").select("_a", "_b").distinct())
     torn = stored(failed.select(F.col("_a").alias("root")).union(failed.select("_b")).distinct())
     if torn.isEmpty():
         return links
     members = parts.join(torn, "root")
     pairs = bucket_pairs(keyed(classes.join(members, "id"), words), whole, words)
-    pairs = pairs.union(bucket_pairs(print_buckets(prints.join(members, "id")), 3, 1)).distinct()
+    if not linked:
+        pairs = pairs.union(bucket_pairs(print_buckets(prints.join(members, "id")), 3, 1)).distinct()
     return links.union(stored(compared_sets(pairs, sets, similarity).where("near").select("a", "b")))
 
 
 def drop_near_duplicates(
     documents: DataFrame, size: int = 5, distance: int = 80, compared: int = 4, words: int = 16, block_bits: int = 16,
-    similarity: float = 0.8, whole: int = 250,
+    similarity: float = 0.8, whole: int = 250, linked: bool = False,
 ) -> DataFrame:
     """One document of each group of near duplicates, unchanged: the one of smallest id.
 
@@ -297,6 +303,8 @@ def drop_near_duplicates(
     ``block_bits`` bits in about 99 % of cases. Of these pairs, those whose first ``compared`` words differ in ``distance`` bits at
     most (31 %), or whose words all differ in ``whole`` bits at most (24 %), are verified on the sets themselves: the distances lie
     so far out that they cost almost no pair, and no pair below the similarity links. README has the measured recall.
+    With ``linked``, what :func:`near_duplicates` links is a near duplicate too, whatever its similarity: a group is what links of
+    either kind connect, so one document of each of its components stays at most.
     Texts without words are copies of each other. Null ids come last and are told apart by text; of repeated
     rows one stays. Very long texts are hashed in slices. An empty table gives an empty result.
     """
@@ -330,7 +338,7 @@ def drop_near_duplicates(
         return texts.select("id", shingles(F.col("text").cast("binary")).alias("shingles")).dropDuplicates(["id"])
 
     prints = rows.select(F.col("_class").alias("id"), F.col("_fp").alias("fp")).distinct()
-    links = similar_links(classes.select(F.col("_class").alias("id"), "print"), prints, sets_of, similarity, distance, compared, whole, words, block_bits)
+    links = similar_links(classes.select(F.col("_class").alias("id"), "print"), prints, sets_of, similarity, distance, compared, whole, words, block_bits, linked)
     roots = components(links, "a", "b")
     linked = stored(
         classes.join(roots, classes["_class"] == roots["node"], "left").select("_class", F.col("first._id").alias("first"), F.coalesce("root", "_class").alias("_root"))

@@ -488,3 +488,33 @@ def test_similar_texts_that_simhash_links_are_near_duplicates(spark):
     assert linked == set(range(1, 44, 2))
     left = {r.doc_id for r in simhash.drop_near_duplicates(documents).collect()}
     assert left == set(range(0, 44, 2))
+
+
+def test_pipeline_leaves_one_document_of_each_simhash_component(spark):
+    """Texts of which SimHash links some below the similarity of the wide prints: with either kind of link, one stays."""
+    import corpus_pipeline
+
+    texts = [t for seed, every in ((12, 60), (13, 60), (12, 45), (13, 45)) for t in variants(seed, 300, 30, every)]
+    documents = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    component = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents).collect()}
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if component[a] == component[b] or jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = {root(k) for k in range(len(texts))}
+    assert len(want) < len(groups_of(texts))
+    left = corpus_pipeline.near_dedup(spark, documents, "")
+    assert left.columns == documents.columns
+    ids = [r.doc_id for r in left.collect()]
+    assert len({component[k] for k in ids}) == len(ids)
+    # The wide prints may miss a pair.
+    assert want <= set(ids) and len(set(ids) - want) <= 2
