@@ -656,7 +656,10 @@ def checked_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses made from hashes of the documents; every fifth has a wrong character or case and must be refused."""
     seed = F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 40)
     place = F.col("doc_id") % 3
-    address = F.when(place == 0, base58check(F.concat(F.lit("00"), seed))).when(place == 1, bech32(0, seed)).otherwise(mixed_case(F.concat(F.lit("0x"), seed)))
+    # Each kind is made only of its own documents' hashes, as functions for workers see all rows they are given.
+    of_kind = [F.when(place == k, seed) for k in (0, 1)]
+    cased = mixed_case(F.when(~place.isin(0, 1), F.concat(F.lit("0x"), seed)))
+    address = F.when(place == 0, base58check(F.concat(F.lit("00"), of_kind[0]))).when(place == 1, bech32(0, of_kind[1])).otherwise(cased)
     other = F.when(F.substring("address", 12, 1) == "q", "p").otherwise("q")
     wrong = F.when(F.col("doc_id") % 3 == 2, wrong_case(F.col("address"))).otherwise(F.overlay("address", other, 12))
     text = F.concat(F.lit("send it to "), F.when(F.col("doc_id") % 5 == 0, wrong).otherwise(F.col("address")), F.lit(", today"))
