@@ -68,8 +68,13 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _posted(text: pa.Array, stop_words: list[str], bigrams: bool) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """The terms of lower-cased texts, where the rows of each end, those rows, and how often each has the term."""
+def _posted(
+    text: pa.Array, stop_words: list[str], bigrams: bool, owner: np.ndarray | None = None
+) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of lower-cased texts, where the rows of each end, those rows, and how often each has the term.
+
+    With ``owner`` the texts of one owner count as one row, the owner's.
+    """
     words = pc.split_pattern_regex(text, BETWEEN)
     encoded = words.flatten().dictionary_encode()
     names, code = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
@@ -79,7 +84,7 @@ def _posted(text: pa.Array, stop_words: list[str], bigrams: bool) -> tuple[pa.Ar
     code, row = code[wanted], row[wanted]
 
     def grouped(code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        both, n = np.unique(code * len(words) + row, return_counts=True)
+        both, n = np.unique(code * len(words) + (row if owner is None else owner[row]), return_counts=True)
         of, rows = np.divmod(both, len(words))
         found, sizes = np.unique(of, return_counts=True)
         return found, sizes, rows, n
@@ -167,6 +172,34 @@ def _combined(rows: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key, "term", "_salt").agg(F.sum("n").alias("n"))
 
 
+def _parts(names: pa.Array, parts: int) -> np.ndarray:
+    """A part for each term, from its bytes alone."""
+    if len(names) > 50_000:
+        # In pieces, as every byte becomes a number.
+        return np.concatenate([_parts(names.slice(at, 50_000), parts) for at in range(0, len(names), 50_000)])
+    if not len(names):
+        return np.empty(0, np.int64)
+    names = names.cast(pa.large_binary())
+    ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    data = np.frombuffer(names.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    starts, lengths = ends[:-1] - ends[0], np.diff(ends)
+    factors = np.cumprod(np.full(int(lengths.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    hashes = np.add.reduceat((data + np.uint64(1)) * factors[np.arange(len(data)) - np.repeat(starts, lengths)], starts)
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((hashes >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _packed(names: pa.Array) -> bytes:
+    """Terms, which hold no line ends, in few bytes."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.scalar("\n", names.type))
+    return pa.compress(joined[0].as_buffer(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> pa.Array:
+    with pa.CompressedInputStream(pa.BufferReader(data), "zstd") as stream:
+        return pc.split_pattern(pa.array([stream.read()], pa.binary()).cast(pa.string()), "\n").values
+
+
 def vocabulary_counts(
     documents: DataFrame,
     key: str = "message_id",
@@ -177,30 +210,71 @@ def vocabulary_counts(
 ) -> DataFrame:
     """Term counts restricted to terms found in at least ``min_df`` documents.
 
-    A term of every document has as many counts as there are documents. So they travel in lists, one for a batch of
-    documents, in ``SALTS`` parts; only the parts' totals meet per term. Documents that share
-    their key are counted row by row and taken together first.
+    A document's counts are many times its text, so they never travel. Texts are shuffled once into batches of about
+    half of ``BYTES`` (``_salt``), by key, as documents that share their key are one. Each batch sends its terms once, packed, to
+    the parts of the vocabulary; these add up documents and send back one bit for each term. The batch is then counted again and gives
+    what the vocabulary has, so what is grouped by key afterwards has met in one task.
     """
-    times = documents.groupBy(key).agg(F.count(F.lit(1)).alias("_times"))
-    shared = times.where("_times > 1").select(F.col(key).alias("_key"), F.lit(True).alias("_shared"))
-    if shared.isEmpty():
-        lists = postings(documents, key, text, stop_words, bigrams)
-    else:
-        marked = documents.select(key, text).join(shared, F.col(key).eqNullSafe(F.col("_key")), "left")
-        rows = marked.where("_shared").select(key, F.inline(counted(terms(F.col(text), stop_words, bigrams))))
-        single = F.array(key).alias("keys"), F.array("n").alias("ns")
-        lists = postings(marked.where("_shared IS NULL"), key, text, stop_words, bigrams).unionByName(_combined(rows, key).select("term", *single))
-    # Neither key can be null here. Else a join would add that as a filter to its use of the lists, and they
-    # would be made and shuffled once for each use.
-    salted = lists.where(F.col("term").isNotNull()).withColumn("_salt", F.xxhash64(F.get("keys", F.lit(0))).bitwiseAND(F.lit(SALTS - 1)))
-    parts = salted.repartition("term", "_salt")
-    # Reading ns here too keeps both uses alike, so that the planner shuffles them once.
-    totals = parts.groupBy("term", "_salt").agg(F.sum(F.least(F.size("keys"), F.size("ns"))).alias("_df"))
-    everywhere = F.sum("_df").over(Window.partitionBy("term"))
-    vocabulary = totals.withColumn("_all", everywhere).where(F.col("_all") >= min_df)
-    kept = parts.join(vocabulary.select("term", "_salt"), ["term", "_salt"])
-    found = kept.select("term", F.inline(F.arrays_zip("keys", "ns")))
-    return found.select(F.col("keys").alias(key), "term", F.col("ns").alias("n"))
+    stops = sorted(set(stop_words))
+    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    batches, parts = 2 * size // BYTES + 1, size // (2 * BYTES) + 1
+    # The salt can't be null, which the planner must see: else the join would add that as a filter to its use of the
+    # texts, and they would be shuffled once for each use.
+    salt = F.coalesce(F.pmod(F.xxhash64(key), F.lit(batches)), F.lit(0))
+    texts = documents.select(salt.alias("_salt"), F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).repartition("_salt")
+    key_type = texts.schema["key"].dataType.simpleString()
+
+    def counts(table: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        # Rows come in any order; terms are listed in the order of texts, which is the same each time.
+        table = table.sort_by("text")
+        keys = table.column("key").combine_chunks().dictionary_encode(null_encoding="encode")
+        named, ends, rows, n = _posted(table.column("text").combine_chunks(), stops, bigrams, keys.indices.to_numpy())
+        part = _parts(named, parts)
+        order = np.argsort(part, kind="stable")
+        found, starts = np.unique(part[order], return_index=True)
+        return keys.dictionary, named, ends, rows, n, dict(zip(found.tolist(), np.split(order, starts)[1:], strict=True))
+
+    def listed(table: pa.Table) -> pa.Table:
+        _, named, ends, _, _, of_part = counts(table)
+        # More than min_df documents are as good as min_df.
+        found = np.minimum(np.diff(ends, prepend=0), min_df).astype(np.int32)
+        rows = [(part, _packed(named.take(pa.array(places))), found[places].tobytes()) for part, places in of_part.items()]
+        columns = [[table.column("_salt")[0].as_py()] * len(rows), *(list(zip(*rows, strict=True)) or [[]] * 3)]
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["_salt", "part", "terms", "documents"])
+
+    def judged(table: pa.Table) -> pa.Table:
+        documents = [np.frombuffer(x, np.int32) for x in table.column("documents").to_pylist()]
+        code = pa.concat_arrays([_unpacked(x) for x in table.column("terms").to_pylist()]).dictionary_encode().indices.to_numpy()
+        kept = (np.bincount(code, np.concatenate(documents)) >= min_df)[code]
+        bits = [np.packbits(x).tobytes() for x in np.split(kept, np.cumsum([len(x) for x in documents])[:-1])]
+        return pa.table([table.column("_salt"), table.column("part"), pa.array(bits, pa.binary())], ["_salt", "part", "kept"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, bits in zip(batch.column("rows"), batch.column("bits"), strict=True):
+                keys, named, ends, owners, n, of_part = counts(pa.Table.from_struct_array(rows.values))
+                kept = np.zeros(len(named), bool)
+                for one in bits.as_py():
+                    places = of_part[one["part"]]
+                    kept[places] = np.unpackbits(np.frombuffer(one["kept"], np.uint8), count=len(places)).astype(bool)
+                sizes = np.diff(ends, prepend=0)
+                wanted = np.flatnonzero(np.repeat(kept, sizes))
+                term = np.repeat(np.arange(len(named)), sizes)
+                columns = []
+                for at in range(0, len(wanted), 100_000):
+                    some = wanted[at : at + 100_000]
+                    columns = [keys.take(pa.array(owners[some])), named.take(pa.array(term[some])), pa.array(n[some])]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "term", "n"])
+                del keys, named, columns
+                pa.default_memory_pool().release_unused()
+
+    lists = texts.groupBy("_salt").applyInArrow(listed, "_salt long, part long, terms binary, documents binary")
+    bits = lists.groupBy("part").applyInArrow(judged, "_salt long, part long, kept binary")
+    answers = bits.groupBy("_salt").agg(F.collect_list(F.struct("part", "kept")).alias("bits"))
+    whole = texts.groupBy("_salt").agg(F.collect_list(F.struct("key", "text")).alias("rows"))
+    found = whole.join(answers, "_salt").select("rows", "bits").mapInArrow(choose, f"key {key_type}, term string, n long")
+    return found.select(F.col("key").alias(key), "term", "n")
 
 
 def class_term_weights(

@@ -478,3 +478,17 @@ def test_a_batch_gives_each_term_once(spark):
     rows = [(i, "common words of all texts") for i in range(1000)]
     documents = spark.createDataFrame(rows, "id long, raw_text string").coalesce(1)
     assert terms.postings(documents, "id", "raw_text", (), True).count() == 9
+
+
+def test_counts_of_documents_do_not_travel(spark):
+    """Texts are shuffled once, and terms without their documents: no row of a term and a document meets others by term."""
+    rows = [(i, f"common words of all texts own{i} pair{i // 2}") for i in range(400)]
+    rows += [(None, None), (None, "common words"), (7, "common common"), (1000, ""), (1001, "x the")]
+    documents = spark.createDataFrame(rows, "id long, raw_text string").repartition(4)
+    kept = terms.vocabulary_counts(documents, "id", min_df=2, stop_words=["the"], bigrams=False)
+    found = {(r.id, r.term): r.n for r in kept.collect()}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "ReusedExchange" in plan
+    want = {(i, t): 1 for i in range(400) for t in ("common", "words", "of", "all", "texts", f"pair{i // 2}")}
+    assert found == want | {(7, "common"): 3, (None, "common"): 1, (None, "words"): 1}
+    assert terms.vocabulary_counts(documents.where("false"), "id").count() == 0
